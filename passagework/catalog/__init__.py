@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ("ranking",)
+PARTS = ("ranking", "chunks")
 
 
 def _merged(name: str) -> dict:

@@ -9,12 +9,14 @@ from passagework.functions.citations import shingles
 from passagework.functions.vectors import hashed_embedding
 from passagework.operators.retrieval import postings
 from passagework.plans.retrieve import Index
+from passagework.session import cut, spread
 
 WIDTH = 64
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages", "conversations") else df
 
 
 def whole_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,9 +40,14 @@ def embedded_passages(spark: SparkSession, sf: str) -> DataFrame:
     return passages(spark, sf).withColumn("vector", hashed_embedding(WIDTH)("text"))
 
 
+def stored_postings(spark: SparkSession, sf: str, stem: bool = False) -> DataFrame:
+    """Postings as a table: searching reads them twice, for statistics and for scores."""
+    return cut(postings(whole_documents(spark, sf), stem=stem))
+
+
 def document_index(spark: SparkSession, sf: str, stem: bool = False) -> Index:
     docs = whole_documents(spark, sf)
-    return Index(docs, embedded_documents(spark, sf), postings(docs, stem=stem))
+    return Index(docs, embedded_documents(spark, sf), stored_postings(spark, sf, stem))
 
 
 def passage_qrels(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from passagework.catalog import sql
 from passagework.catalog.frames import (
-    document_index, embedded_documents, embedded_passages, passage_qrels, passages, table, whole_documents,
+    document_index, embedded_documents, embedded_passages, passage_qrels, passages, stored_postings, table, whole_documents,
 )
 from passagework.functions import sparse as sp
 from passagework.functions import vectors as v
@@ -37,13 +37,13 @@ def _shown(ranked, *extra):
 @check("bm25_search", f"WITH {sql.SPARSE} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM sparse WHERE rank <= 10")
 def bm25_search(spark, sf):
     docs = whole_documents(spark, sf)
-    return _shown(r.sparse_search(passages(spark, sf), r.postings(docs, stem=False), docs, 10, stem=False))
+    return _shown(r.sparse_search(passages(spark, sf), stored_postings(spark, sf), docs, 10, stem=False))
 
 
 @check("bm25_search_stemmed")
 def bm25_search_stemmed(spark, sf):
     docs = whole_documents(spark, sf)
-    return _shown(r.sparse_search(passages(spark, sf), r.postings(docs), docs, 10))
+    return _shown(r.sparse_search(passages(spark, sf), stored_postings(spark, sf, stem=True), docs, 10))
 
 
 @check("term_postings", f"""WITH {sql.POSTINGS}, hashed AS (

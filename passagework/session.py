@@ -59,3 +59,13 @@ def cut(df: DataFrame) -> DataFrame:
 def within(df: DataFrame, rows: int) -> bool:
     """Whether a frame has at most `rows` rows; reads no more than it must to tell."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Gives an input of a few large splits to every core; leaves larger inputs as they are.
+
+    A small file is one split, hence one task. On a cluster the input has more splits than
+    cores and nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
