@@ -17,80 +17,57 @@ WIDTH = 8192
 _STRETCH = "__stretch"
 
 
-def _cut(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn(_STRETCH, F.floor(F.col(order) / width).cast("bigint"))
-
-
-def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
-
-
-def _attach(cut: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = small.select(*[F.col(k).alias(f"__k_{k}") for k in keys],
-                           *[c for c in small.columns if c not in keys])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return cut.join(renamed, cond, "left").drop(*[f"__k_{k}" for k in keys])
-
-
-def with_position(df: DataFrame, keys: Sequence[str], order: str, out: str = "position",
-                  total: str | None = None, width: int = WIDTH) -> DataFrame:
-    """0-based position of each row within its group, and optionally the group's size."""
-    cut = _cut(df, order, width)
-    before = Window.partitionBy(*keys).orderBy(_STRETCH).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut.groupBy(*keys, _STRETCH).agg(F.count("*").alias("__n"))
-    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    if total:
-        sizes = sizes.withColumn(total, F.sum("__n").over(Window.partitionBy(*keys)))
+def carried(df: DataFrame, keys: Sequence[str], order: str, *, last: dict[str, Column] | None = None,
+            last_before: dict[str, Column] | None = None, sums: dict[str, Column] | None = None,
+            sums_before: dict[str, Column] | None = None, totals: dict[str, Column] | None = None,
+            width: int = WIDTH) -> DataFrame:
+    """Adds running columns in group order, in one pass.
+
+    `last` and `last_before` give an expression's latest non-null value, with or without the
+    row itself; `sums` and `sums_before` its running sum; `totals` its sum over the group.
+    """
+    latest = {**(last or {}), **(last_before or {})}
+    added = {**(sums or {}), **(sums_before or {})}
+    inputs = {**latest, **added, **(totals or {})}
+    cut = df.select("*", F.floor(F.col(order) / width).cast("bigint").alias(_STRETCH),
+                    *[e.alias(f"__v_{n}") for n, e in inputs.items()])
+    ends = cut.groupBy(*keys, _STRETCH).agg(
+        *[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col(order))).alias(f"__e_{n}") for n in latest],
+        *[F.sum(f"__v_{n}").alias(f"__e_{n}") for n in (*added, *(totals or {}))],
+    )
+    group = Window.partitionBy(*keys)
+    before = group.orderBy(_STRETCH).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(
+        *[F.col(k).alias(f"__k_{k}") for k in (*keys, _STRETCH)],
+        *[F.last(f"__e_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in latest],
+        *[F.coalesce(F.sum(f"__e_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in added],
+        *[F.sum(f"__e_{n}").over(group).alias(f"__c_{n}") for n in totals or {}],
+    )
     inside = Window.partitionBy(*keys, _STRETCH).orderBy(order)
-    return (
-        _attach(cut.withColumn("__local", F.row_number().over(inside) - 1), sizes.drop("__n"), [*keys, _STRETCH])
-        .withColumn(out, (F.col("__before") + F.col("__local")).cast("bigint"))
-        .drop("__before", "__local", _STRETCH)
+    upto = {n: inside.rowsBetween(Window.unboundedPreceding, -1 if n in {**(last_before or {}), **(sums_before or {})} else 0) for n in inputs}
+    cut = cut.select(
+        "*",
+        *[F.last(f"__v_{n}", ignorenulls=True).over(upto[n]).alias(f"__l_{n}") for n in latest],
+        *[F.coalesce(F.sum(f"__v_{n}").over(upto[n]), F.lit(0)).alias(f"__l_{n}") for n in added],
     )
-
-
-def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column | str, out: str,
-                inclusive: bool = True, width: int = WIDTH) -> DataFrame:
-    """Sum of `value` over the rows up to this one (or strictly before it)."""
-    cut = _cut(df.withColumn("__v", F.col(value) if isinstance(value, str) else value), order, width)
-    before = Window.partitionBy(*keys).orderBy(_STRETCH).rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy(*keys, _STRETCH).agg(F.sum("__v").alias("__s"))
-    sums = sums.select(*keys, _STRETCH, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
-    end = Window.currentRow if inclusive else -1
-    inside = Window.partitionBy(*keys, _STRETCH).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
-    return (
-        _attach(cut.withColumn("__local", F.coalesce(F.sum("__v").over(inside), F.lit(0))), sums, [*keys, _STRETCH])
-        .withColumn(out, F.col("__before") + F.col("__local"))
-        .drop("__v", "__local", "__before", _STRETCH)
+    same = F.lit(True)
+    for k in (*keys, _STRETCH):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    joined = cut.join(ends, same, "left")
+    kept = [c for c in df.columns if c not in inputs]
+    return joined.select(
+        *kept,
+        *[F.coalesce(f"__l_{n}", f"__c_{n}").alias(n) for n in latest],
+        *[(F.col(f"__c_{n}") + F.col(f"__l_{n}")).alias(n) for n in added],
+        *[F.col(f"__c_{n}").alias(n) for n in totals or {}],
     )
 
 
-def last_so_far(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column],
-                inclusive: bool = True, width: int = WIDTH) -> DataFrame:
-    """For each named expression, its latest non-null value up to this row (or before it)."""
-    for name, value in values.items():
-        df = df.withColumn(f"__v_{name}", value)
-    cut = _cut(df, order, width)
-    before = Window.partitionBy(*keys).orderBy(_STRETCH).rowsBetween(Window.unboundedPreceding, -1)
-    ends = cut.groupBy(*keys, _STRETCH).agg(*[
-        F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col(order))).alias(f"__e_{n}") for n in values
-    ])
-    ends = ends.select(*keys, _STRETCH, *[
-        F.last(f"__e_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in values
-    ])
-    end = Window.currentRow if inclusive else -1
-    inside = Window.partitionBy(*keys, _STRETCH).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
-    for n in values:
-        cut = cut.withColumn(f"__l_{n}", F.last(f"__v_{n}", ignorenulls=True).over(inside))
-    joined = _attach(cut, ends, [*keys, _STRETCH])
-    for n in values:
-        joined = joined.withColumn(n, F.coalesce(f"__l_{n}", f"__c_{n}"))
-    return joined.drop(_STRETCH, *[f"__{p}_{n}" for n in values for p in "vlc"])
+def with_position(df: DataFrame, keys: Sequence[str], order: str, out: str = "position",
+                  total: str | None = None, width: int = WIDTH) -> DataFrame:
+    """0-based position of each row within its group, and optionally the group's size."""
+    one = F.lit(1).cast("bigint")
+    return carried(df, keys, order, sums_before={out: one}, totals={total: one} if total else None, width=width)
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, float]) -> DataFrame:

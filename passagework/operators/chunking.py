@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework.functions import text as t
-from passagework.functions.sequence import last_so_far, running_sum, upper_median, with_position
+from passagework.functions.sequence import carried, upper_median, with_position
+from passagework.session import cut
 
 DOC = ["document_id"]
 LEVELS = 6
@@ -42,24 +43,27 @@ def heading_paths(blocks: DataFrame) -> DataFrame:
     A heading of level L stays open until one of level L or less. So the latest heading of
     each level counts if it came after the latest of every lesser level.
     """
-    level = F.coalesce("level", F.lit(1))
+    return _name_path(carried(blocks, DOC, "order", last=_opened())).drop(*_opened())
+
+
+def _opened() -> dict[str, Column]:
+    """Per level, the heading a block opens there."""
+    level = F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(LEVELS))
     entry = F.struct(F.col("order").alias("at"), t.strip("text").alias("title"))
-    opened = {
-        f"__h{n}": F.when((F.col("type") == "heading") & (F.least(F.greatest(level, F.lit(1)), F.lit(LEVELS)) == n), entry)
-        for n in range(1, LEVELS + 1)
-    }
-    rows = last_so_far(blocks, DOC, "order", opened)
+    return {f"__h{n}": F.when((F.col("type") == "heading") & (level == n), entry) for n in range(1, LEVELS + 1)}
+
+
+def _name_path(rows: DataFrame) -> DataFrame:
     kept = []
     for n in range(1, LEVELS + 1):
         h = F.col(f"__h{n}")
         shallower = [F.coalesce(F.col(f"__h{m}.at"), F.lit(-1)) for m in range(1, n)]
-        after = h["at"] > (F.greatest(*shallower) if len(shallower) > 1 else shallower[0]) if shallower else F.lit(True)
+        after = h["at"] > F.greatest(F.lit(-1), F.lit(-1), *shallower)
         kept.append(F.when(h.isNotNull() & after, h["title"]))
     return (
         rows.withColumn("heading_path", F.array_compact(F.array(*kept)))
         .withColumn("section", F.try_element_at("heading_path", F.lit(1)))
         .withColumn("heading", F.try_element_at("heading_path", F.lit(-1)))
-        .drop(*opened)
     )
 
 
@@ -90,7 +94,7 @@ def fixed_window_chunks(blocks: DataFrame, target_tokens: int = 512, overlap_tok
     sample = 2000
     rows = complete(blocks)
     words = F.split("text", r"(?U)\s+")
-    rows = running_sum(rows.withColumn("n_words", F.size(words)), DOC, "order", F.col("n_words"), "first_word", inclusive=False)
+    rows = carried(rows.withColumn("n_words", F.size(words)), DOC, "order", sums_before={"first_word": F.col("n_words")})
     sampled = F.greatest(F.lit(0), F.least(F.col("n_words"), F.lit(sample) - F.col("first_word"))).cast("int")
     chars = F.length(F.array_join(F.slice(words, F.lit(1), F.greatest(sampled, F.lit(0))), ""))
     whole = rows.groupBy("document_id").agg(
@@ -147,21 +151,41 @@ def _places(texts: pd.Series, sentences: pd.Series) -> pd.Series:
     return pd.Series([of(a, b) for a, b in zip(texts, sentences)])
 
 
-def pieces_of(blocks: DataFrame) -> DataFrame:
-    """The smallest units of packing: sentences, and tables, notes and figures kept whole."""
-    rows = heading_paths(complete(blocks))
-    rows = running_sum(rows, DOC, "order", F.length("text") + 2, "offset", inclusive=False)
+def _runs_of(blocks: DataFrame, target: int) -> DataFrame:
+    """Body blocks with their headings, their offset in the document, and the run they belong to.
+
+    A run starts after a heading, at a figure on another page, and around an oversized piece.
+    """
     atomic = F.col("type").isin(*ATOMIC)
-    body = rows.filter(F.col("type") != "heading").withColumn(
-        "parts", F.when(atomic, F.array("text")).otherwise(t.split_sentences("text"))
-    ).withColumn("places", _places("text", "parts"))
-    return body.select(
-        *DOC, "document_name", "user_id", "order", "type", "page", "slide", "source", "offset", "section", "heading", "heading_path",
-        atomic.alias("atomic"), F.inline(F.arrays_zip(F.sequence(F.lit(0), F.size("parts") - 1).alias("idx"), F.col("parts").alias("text"), F.col("places").alias("place"))),
-    ).withColumn("tokens", t.token_count("text"))
+    heading = F.col("type") == "heading"
+    rows = complete(blocks).withColumn("big", atomic & (t.token_count("text") > target))
+    rows = carried(
+        rows, DOC, "order", last=_opened(), sums_before={"offset": F.length("text") + 2},
+        last_before={
+            "mark": F.when(heading, F.col("order")),
+            "prev": F.when(~heading, F.struct("order", "page", "slide", "big")),
+        },
+    )
+    body = _name_path(rows).drop(*_opened()).filter(~heading)
+    moved = ~(F.col("prev.page").eqNullSafe(F.col("page")) & F.col("prev.slide").eqNullSafe(F.col("slide")))
+    starts = (
+        F.col("prev").isNull() | (F.coalesce("mark", F.lit(-1)) > F.col("prev.order")) | F.col("big") | F.col("prev.big")
+        | ((F.col("type") == "figure") & moved)
+    )
+    return carried(body.withColumn("atomic", atomic), DOC, "order", last={"run": F.when(starts, F.col("order").cast("bigint"))}).drop("mark", "prev")
 
 
-_PACKED = "document_id {doc}, run bigint, grp int, place int, order bigint, idx int, line int"
+def pieces_of(runs: DataFrame, target: int) -> DataFrame:
+    """The smallest units of packing: sentences, and tables, notes and figures kept whole."""
+    parts = F.when(F.col("atomic"), F.array("text")).otherwise(t.split_sentences("text"))
+    split = runs.withColumn("parts", parts).withColumn("found", _places("text", "parts"))
+    zipped = F.zip_with("parts", "found", lambda a, b: F.struct(a.alias("piece"), (F.col("offset") + b).alias("start")))
+    pieces = split.select("*", F.posexplode(zipped).alias("idx", "__p")).select(
+        *DOC, "run", "order", "idx", "atomic", "page", "slide", "source", "document_name", "user_id", "section", "heading", "heading_path",
+        F.col("__p.piece").alias("text"), F.col("__p.start").alias("start"), t.token_count(F.col("__p.piece")).alias("tokens"),
+    )
+    lines = F.transform(F.split("text", "\n"), lambda s: F.when(s.rlike(r"(?U)\S"), t.token_count(s)).otherwise(0))
+    return pieces.withColumn("line_tokens", F.when(F.col("atomic") & (F.col("tokens") > OVERSIZE * target), lines))
 
 
 def _line_groups(sizes, target: int) -> list[list[int]]:
@@ -178,157 +202,134 @@ def _line_groups(sizes, target: int) -> list[list[int]]:
     return [g for g in groups if g]
 
 
+_CARRIED = ("document_name", "user_id", "section", "heading", "heading_path")
+_GROUP = (
+    "document_id {doc}, run bigint, grp int, tokens bigint, text string, first_page int, last_page int, slide int, char_start bigint, "
+    "char_end bigint, vision boolean, document_name string, user_id {user}, section string, heading string, heading_path array<string>"
+)
+
+
 def _pack(target: int, overlap: int):
-    """Greedy packing over rows sorted by run, as a stream.
+    """Greedy packing over pieces sorted by run, as a stream.
 
-    What is carried from row to row is the open group, never more than a target of tokens, so
-    a run of any length passes through. Only numbers come in; the texts stay where they are.
+    What is carried from row to row is the open group, never more than a target of tokens (or
+    one piece), so a run of any length passes through.
     """
 
-    def repeated(members: list[tuple]) -> list[tuple]:
+    def repeated(members: list) -> list:
         """The trailing sentences that also open the next group."""
-        kept: list[tuple] = []
+        kept: list = []
         room = overlap
         for m in reversed(members):
-            if overlap <= 0 or m[3] or m[2] > room:
+            if overlap <= 0 or m.atomic or m.tokens > room:
                 break
             kept.insert(0, m)
-            room -= m[2]
+            room -= m.tokens
         return kept
 
+    def made(group: int, members: list) -> tuple:
+        pages = [m.page for m in members if not pd.isna(m.page)]
+        first, last = members[0], members[-1]
+        return (
+            first.document_id, first.run, group, sum(m.tokens for m in members), " ".join(m.text for m in members), first.page,
+            max(pages, default=None), first.slide, first.start, last.start + len(last.text), all(m.source == "vision" for m in members),
+            *(getattr(first, c) for c in _CARRIED),
+        )
+
+    def by_line(piece) -> Iterator[tuple]:
+        lines = piece.text.split("\n")
+        starts, at = [], piece.start
+        for line, size in zip(lines, piece.line_tokens):
+            starts.append(at)
+            at += len(line) + 1 if size else 0
+        for group, chosen in enumerate(_line_groups(piece.line_tokens, target)):
+            yield made(group, [piece._replace(text=lines[i], tokens=int(piece.line_tokens[i]), start=starts[i]) for i in chosen])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, group, members, used = None, 0, [], 0
         for pdf in frames:
             out: list[tuple] = []
-
-            def close() -> None:
-                out.extend((*key, group, p, m[0], m[1], None) for p, m in enumerate(members))
-
-            columns = [pdf[c].tolist() for c in ("document_id", "run", "order", "idx", "tokens", "atomic")]
-            for row, sizes in zip(zip(*columns), pdf["line_tokens"]):
-                if row[:2] != key:
+            for piece in pdf.itertuples(index=False):
+                if (piece.document_id, piece.run) != key:
                     if members:
-                        close()
-                    key, group, members, used = row[:2], 0, [], 0
-                piece = row[2:]
-                if sizes is not None:  # alone in its run
-                    for g, lines in enumerate(_line_groups(sizes, target)):
-                        out.extend((*key, g, p, piece[0], piece[1], line) for p, line in enumerate(lines))
+                        out.append(made(group, members))
+                    key, group, members, used = (piece.document_id, piece.run), 0, [], 0
+                if piece.line_tokens is not None:  # alone in its run
+                    out.extend(by_line(piece))
                     continue
-                size = piece[2]
-                if members and used + size > target:
-                    close()
+                if members and used + piece.tokens > target:
+                    out.append(made(group, members))
                     group += 1
                     members = repeated(members)
-                    used = sum(m[2] for m in members)
-                    if used + size > target:
+                    used = sum(m.tokens for m in members)
+                    if used + piece.tokens > target:
                         members, used = [], 0
                 members.append(piece)
-                used += size
+                used += piece.tokens
             yield _frame(out)
         if members:
-            yield _frame([(*key, group, p, m[0], m[1], None) for p, m in enumerate(members)])
+            yield _frame([made(group, members)])
 
     return run
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    made = pd.DataFrame(rows, columns=["document_id", "run", "grp", "place", "order", "idx", "line"])
-    return made.astype({"line": "Int32"})
+    names = ("document_id", "run", "grp", "tokens", "text", "first_page", "last_page", "slide", "char_start", "char_end", "vision", *_CARRIED)
+    return pd.DataFrame(rows, columns=list(names)).astype({"first_page": "Int32", "last_page": "Int32", "slide": "Int32"})
 
 
 def structural_chunks(blocks: DataFrame, target_tokens: int = 512, overlap_tokens: int = 64, min_tokens: int = 64) -> DataFrame:
     """Chunks that never cross a heading nor cut a sentence.
 
-    Packing is the one sequential step. It starts afresh at every heading, at a figure on
-    another page and around an oversized piece, so a document is first cut there into runs
-    that are packed apart; only token counts, not texts, are grouped.
+    Packing is the one sequential step. It starts afresh with every run, so runs are packed
+    apart, in parallel. Intermediate tables are written: each later step reads them twice.
     """
     if target_tokens <= 0:
         raise ValueError("target_tokens must be positive")
-    overlap = min(overlap_tokens, target_tokens // 2)
-    pieces = pieces_of(blocks)
-    big = F.col("atomic") & (F.col("tokens") > target_tokens)
-    at = (F.col("order").cast("bigint") * F.lit(STEP) + F.col("idx")).alias("at")
-    thin = pieces.select(
-        *DOC, "order", "idx", at, "tokens", "atomic", "type", "page", "slide", "heading_path", big.alias("big"),
-        F.when(big & (F.col("tokens") > OVERSIZE * target_tokens),
-               F.transform(F.split("text", "\n"), lambda s: F.when(s.rlike(r"(?U)\S"), t.token_count(s)).otherwise(0))).alias("line_tokens"),
-    )
-    # A heading between two pieces shows as a change of the last heading's place.
-    marks = complete(blocks).filter(F.col("type") == "heading").select(*DOC, "order")
-    both = thin.unionByName(marks.select(*DOC, "order", F.lit(-1).alias("idx"), (F.col("order").cast("bigint") * F.lit(STEP)).alias("at"),
-                                         F.lit(True).alias("is_mark")), allowMissingColumns=True)
-    prev = last_so_far(both, DOC, "at", {
-        "mark": F.when(F.col("is_mark"), F.col("at")),
-        "prev": F.when(F.col("is_mark").isNull(), F.struct("at", "page", "slide", "big")),
-    }, inclusive=False, width=_WIDE).filter(F.col("is_mark").isNull())
-    moved = ~(F.col("prev.page").eqNullSafe(F.col("page")) & F.col("prev.slide").eqNullSafe(F.col("slide")))
-    starts = (
-        F.col("prev").isNull() | (F.coalesce("mark", F.lit(-1)) > F.col("prev.at")) | F.col("big") | F.col("prev.big")
-        | ((F.col("type") == "figure") & moved)
-    )
-    runs = last_so_far(prev.withColumn("starts", starts), DOC, "at", {"run": F.when(F.col("starts"), F.col("at"))}, width=_WIDE)
-    doc_type = pieces.schema["document_id"].dataType.simpleString()
-    packed = (
-        runs.select(*DOC, "run", "order", "idx", "tokens", "atomic", "line_tokens")
-        .repartition(*DOC, "run").sortWithinPartitions(*DOC, "run", "order", "idx")
-        .mapInPandas(_pack(target_tokens, overlap), _PACKED.format(doc=doc_type))
-    )
-
-    members = packed.join(pieces.withColumnRenamed("place", "found_at"), [*DOC, "order", "idx"])
-    lines = F.split("text", "\n")
-    skipped = F.aggregate(
-        F.slice(lines, F.lit(1), F.coalesce("line", F.lit(0))), F.lit(0),
-        lambda n, s: F.when(s.rlike(r"(?U)\S"), n + F.length(s) + 1).otherwise(n),
-    )
-    members = (
-        members.withColumn("start", F.col("offset") + F.col("found_at") + F.when(F.col("line").isNotNull(), skipped).otherwise(0))
-        .withColumn("text", F.when(F.col("line").isNotNull(), F.get(lines, F.col("line"))).otherwise(F.col("text")))
-        .withColumn("tokens", F.when(F.col("line").isNotNull(), t.token_count("text")).otherwise(F.col("tokens")))
-    )
-    # One group is at most about two targets of tokens, so it may be collected.
-    here = F.struct("place", "text", "start", F.length("text").alias("size"), "page", "slide", "source")
-    groups = members.groupBy(*DOC, "run", "grp").agg(
-        F.sum("tokens").alias("tokens"), F.array_sort(F.collect_list(here)).alias("parts"),
-        *[F.first(c).alias(c) for c in ("document_name", "user_id", "section", "heading", "heading_path")],
+    pieces = pieces_of(_runs_of(blocks, target_tokens), target_tokens)
+    doc, user = (pieces.schema[c].dataType.simpleString() for c in ("document_id", "user_id"))
+    groups = cut(
+        pieces.repartition(*DOC, "run").sortWithinPartitions(*DOC, "run", "order", "idx")
+        .mapInPandas(_pack(target_tokens, min(overlap_tokens, target_tokens // 2)), _GROUP.format(doc=doc, user=user))
+        .withColumn("at", F.col("run") * STEP + F.col("grp"))
     )
-    merged = _fold_small(groups, target_tokens, min_tokens)
-    first, last = F.col("parts")[0], F.element_at("parts", -1)
-    return _finish(merged.select(
-        *DOC, "document_name", "user_id", "chunk_index",
-        t.strip(F.array_join(F.transform("parts", lambda p: p["text"]), " ")).alias("text"),
-        first["page"].alias("page_number"),
-        page_end(first["page"], F.array_max(F.transform("parts", lambda p: p["page"]))).alias("page_end"),
-        first["slide"].alias("slide_number"), "section", "heading", "heading_path",
-        first["start"].cast("bigint").alias("char_start"), (last["start"] + last["size"]).cast("bigint").alias("char_end"),
-        F.when(F.forall("parts", lambda p: p["source"] == "vision"), "vision").otherwise("text").alias("source"),
+    plan = _fold_small(groups.select(*DOC, "at", "tokens", "heading_path"), target_tokens, min_tokens)
+    part = ("text", "first_page", "last_page", "slide", "char_start", "char_end", "vision", *_CARRIED)
+    one = groups.select(*DOC, "at", *part)
+    two = groups.select(*[F.col(c).alias(f"b_{c}") for c in (*DOC, "at", *part)])
+    rows = plan.join(one, [*DOC, "at"]).join(
+        two, F.col("document_id").eqNullSafe(F.col("b_document_id")) & (F.col("folded_at") == F.col("b_at")), "left")
+    both = F.col("folded_at").isNotNull()
+    deeper = both & (F.size("b_heading_path") > F.size("heading_path"))
+    pick = lambda c: F.when(deeper, F.col(f"b_{c}")).otherwise(F.col(c)).alias(c)
+    return _finish(rows.select(
+        *DOC, "document_name", "user_id", "chunk_index", t.strip(F.concat_ws(" ", "text", "b_text")).alias("text"),
+        F.col("first_page").alias("page_number"), page_end("first_page", F.greatest("last_page", "b_last_page")).alias("page_end"),
+        F.col("slide").alias("slide_number"), pick("section"), pick("heading"), pick("heading_path"),
+        "char_start", F.coalesce("b_char_end", "char_end").alias("char_end"),
+        F.when(F.col("vision") & F.coalesce("b_vision", F.lit(True)), "vision").otherwise("text").alias("source"),
     ).filter(F.col("text") != ""))
 
 
 def _fold_small(groups: DataFrame, target: int, least: int) -> DataFrame:
-    """Folds a group below `least` tokens into the next one of the same or a deeper path.
+    """Which groups stand, which one each takes up, and their final index.
 
-    Folding goes once through the groups, pair by pair: in a stretch of foldable groups every
-    other one is taken up by the one before it.
+    A group below `least` tokens takes up the next one of the same or a deeper path. Folding
+    goes once through the groups, pair by pair, so in a stretch of foldable groups every other
+    one is taken up by the one before it.
     """
-    ordered = with_position(groups.withColumn("at", F.col("run") + F.col("grp")), DOC, "at", "pos", width=_WIDE)
+    ordered = cut(with_position(groups, DOC, "at", "pos", width=_WIDE))
     following = ordered.select(
-        *[F.col(c).alias(f"next_{c}") for c in (*DOC, "tokens", "heading_path", "section", "heading", "parts")], (F.col("pos") - 1).alias("pos_before"))
+        *[F.col(c).alias(f"next_{c}") for c in (*DOC, "at", "tokens", "heading_path")], (F.col("pos") - 1).alias("pos_before"))
     rows = ordered.join(following, F.col("document_id").eqNullSafe(F.col("next_document_id")) & (F.col("pos") == F.col("pos_before")), "left")
     depth = F.size("heading_path")
-    related = F.slice("next_heading_path", F.lit(1), F.greatest(depth, F.lit(1))) == F.col("heading_path")
-    related = F.when(depth == 0, F.lit(True)).otherwise(related)
+    related = (depth == 0) | (F.slice("next_heading_path", F.lit(1), F.greatest(depth, F.lit(1))) == F.col("heading_path"))
     fits = (F.col("tokens") < least) & related & (F.col("tokens") + F.col("next_tokens") <= OVERSIZE * target)
-    rows = rows.withColumn("foldable", F.coalesce(fits, F.lit(False)))
-    rows = last_so_far(rows, DOC, "pos", {"barrier": F.when(~F.col("foldable"), F.col("pos"))}, inclusive=False)
-    kept = rows.filter((F.col("pos") - F.coalesce("barrier", F.lit(-1))) % 2 != 0)
-    kept = with_position(kept, DOC, "pos", "chunk_index")
-    deeper = F.col("foldable") & (F.size("next_heading_path") > depth)
-    for name in ("section", "heading", "heading_path"):
-        kept = kept.withColumn(f"__{name}", F.when(deeper, F.col(f"next_{name}")).otherwise(F.col(name)))
-    return kept.withColumn("parts", F.when(F.col("foldable"), F.concat("parts", "next_parts")).otherwise(F.col("parts"))).select(
-        *DOC, "document_name", "user_id", "chunk_index", "parts", *[F.col(f"__{n}").alias(n) for n in ("section", "heading", "heading_path")])
+    rows = rows.select(*DOC, "at", "pos", "next_at", F.coalesce(fits, F.lit(False)).alias("foldable"))
+    rows = carried(rows, DOC, "pos", last_before={"barrier": F.when(~F.col("foldable"), F.col("pos"))})
+    kept = cut(rows.filter((F.col("pos") - F.coalesce("barrier", F.lit(-1))) % 2 != 0))
+    return with_position(kept, DOC, "pos", "chunk_index").select(
+        *DOC, "at", "chunk_index", F.when(F.col("foldable"), F.col("next_at")).alias("folded_at"))
 
 
 def dedupe_chunks(chunks: DataFrame) -> DataFrame:
