@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ("ranking", "chunks")
+PARTS = ("ranking", "chunks", "records")
 
 
 def _merged(name: str) -> dict:
