@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from passagework.catalog import sql
 from passagework.catalog.frames import table
 from passagework.functions import citations as c
 from passagework.functions import text as t
@@ -148,8 +149,7 @@ def structural_chunks(spark, sf):
     return ch.structural_chunks(line_blocks(spark, sf), 128, 16, 16).drop("heading_path")
 
 
-@check("shingles", """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)
-    SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1 : i + 5], ' ')))) END AS shingles FROM w""")
+@check("shingles", f"WITH {sql.GRAMS} SELECT doc_id, count(g) AS shingles FROM documents LEFT JOIN grams USING (doc_id) GROUP BY 1")
 def shingles(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(c.shingles("text")).cast("bigint").alias("shingles"))
 

@@ -89,3 +89,8 @@ METRICS = FUSED + "," + QRELS + "," + STRATEGIES + """,
     metrics AS (
         SELECT query_id, strategy, 'mrr' AS metric, coalesce(1.0 / min(rank), 0) AS value FROM judged GROUP BY ALL
         UNION ALL """ + " UNION ALL ".join(_at(k) for k in (1, 3, 5, 10)) + ")"
+
+
+GRAMS = """tw AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)),
+    tg AS (SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g FROM tw WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    grams AS (SELECT DISTINCT doc_id, g FROM tg WHERE g IS NOT NULL UNION ALL SELECT doc_id, string_agg(w, ' ' ORDER BY i) FROM tw GROUP BY doc_id HAVING count(*) < 5)"""
