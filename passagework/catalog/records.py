@@ -37,8 +37,11 @@ def micros(column):
 
 
 def event_traces(spark, sf):
+    return as_traces(table(spark, sf, "events"))
+
+
+def as_traces(e):
     """Events read as spans: the type is the kind, the day of a user one operation."""
-    e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         F.col("event_id").alias("trace_id"), F.col("event_type").alias("kind"), F.when(k % 5 == 0, "request").otherwise(F.concat(F.lit("stage-"), k % 5)).alias("name"),
