@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ("ranking", "chunks", "records", "answers", "studying", "layout", "streams")
+PARTS = ("ranking", "chunks", "records", "answers", "studying", "layout", "streams", "whole")
 
 
 def _merged(name: str) -> dict:

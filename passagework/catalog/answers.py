@@ -171,7 +171,7 @@ def spread_by_document(spark, sf):
 def _ranked_passages(spark, sf, k=10):
     docs = whole_documents(spark, sf)
     found = r.sparse_search(passages(spark, sf), stored_postings(spark, sf), docs, k, stem=False)
-    return found.join(docs.select("chunk_id", "document_id", "text"), "chunk_id")
+    return cut(found.join(docs.select("chunk_id", "document_id", "text"), "chunk_id"))
 
 
 @check("near_duplicates", f"""WITH {sql.SPARSE},
