@@ -134,7 +134,7 @@ def accept_rewrite(spark, sf):
 
 
 def _windows(spark, sf):
-    return ch.fixed_window_chunks(line_blocks(spark, sf), 128, 16).select("document_id", "chunk_index", "chunk_id", "user_id")
+    return cut(ch.fixed_window_chunks(line_blocks(spark, sf), 128, 16).select("document_id", "chunk_index", "chunk_id", "user_id"))
 
 
 SPREAD = WINDOWS + """,
@@ -159,13 +159,13 @@ def stratified_spread(spark, sf):
     q AS (SELECT *, CASE WHEN used THEN greatest(4 - fresh, 0) ELSE 4 END AS want FROM p)
     SELECT doc_id AS document_id, i AS chunk_index FROM q WHERE want > 0 AND (want >= m OR EXISTS (SELECT 1 FROM range(4) g(s) WHERE s < want AND floor(s * (m / want::DOUBLE))::BIGINT = j))""")
 def pick_fresh(spark, sf):
-    pool = cut(_windows(spark, sf).withColumn("chunk_id", F.concat("document_id", F.lit("/"), "chunk_index")))
+    pool = _windows(spark, sf).withColumn("chunk_id", F.concat("document_id", F.lit("/"), "chunk_index"))
     return sm.pick_fresh(pool, 4, pool.filter("chunk_index % 3 = 0")).select("document_id", "chunk_index")
 
 
 @check("spread_by_document")
 def spread_by_document(spark, sf):
-    return sm.spread_by_document(cut(_windows(spark, sf)), 40).select("user_id", "document_id", "chunk_index")
+    return sm.spread_by_document(_windows(spark, sf), 40).select("user_id", "document_id", "chunk_index")
 
 
 def _ranked_passages(spark, sf, k=10):

@@ -94,7 +94,7 @@ def fixed_window_chunks(blocks: DataFrame, target_tokens: int = 512, overlap_tok
     sample = 2000
     rows = complete(blocks)
     words = F.split("text", r"(?U)\s+")
-    rows = carried(rows.withColumn("n_words", F.size(words)), DOC, "order", sums_before={"first_word": F.col("n_words")})
+    rows = cut(carried(rows.withColumn("n_words", F.size(words)), DOC, "order", sums_before={"first_word": F.col("n_words")}))
     sampled = F.greatest(F.lit(0), F.least(F.col("n_words"), F.lit(sample) - F.col("first_word"))).cast("int")
     chars = F.length(F.array_join(F.slice(words, F.lit(1), F.greatest(sampled, F.lit(0))), ""))
     whole = rows.groupBy("document_id").agg(
@@ -158,7 +158,7 @@ def _runs_of(blocks: DataFrame, target: int) -> DataFrame:
     """
     atomic = F.col("type").isin(*ATOMIC)
     heading = F.col("type") == "heading"
-    rows = complete(blocks).withColumn("big", atomic & (t.token_count("text") > target))
+    rows = cut(complete(blocks).withColumn("big", atomic & (t.token_count("text") > target)))
     rows = carried(
         rows, DOC, "order", last=_opened(), sums_before={"offset": F.length("text") + 2},
         last_before={
@@ -172,7 +172,8 @@ def _runs_of(blocks: DataFrame, target: int) -> DataFrame:
         F.col("prev").isNull() | (F.coalesce("mark", F.lit(-1)) > F.col("prev.order")) | F.col("big") | F.col("prev.big")
         | ((F.col("type") == "figure") & moved)
     )
-    return carried(body.withColumn("atomic", atomic), DOC, "order", last={"run": F.when(starts, F.col("order").cast("bigint"))}).drop("mark", "prev")
+    body = cut(body.withColumns({"atomic": atomic, "starts": starts}).drop("mark", "prev", "big"))
+    return carried(body, DOC, "order", last={"run": F.when(F.col("starts"), F.col("order").cast("bigint"))})
 
 
 def pieces_of(runs: DataFrame, target: int) -> DataFrame:

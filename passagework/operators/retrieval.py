@@ -206,11 +206,14 @@ def _grid(asked: DataFrame, corpus: DataFrame, schema: T.StructType, k: int, row
         .withColumn("__q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__nq") - 1)))
     )
     key = ["__o", "__q", "__c"]
+    # Both sides may come from one table: new names keep their columns apart.
+    left = left.toDF(*[f"q_{c}" for c in left.columns])
+    right = right.toDF(*[f"c_{c}" for c in right.columns])
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        return _best(a, b, k)
+        return _best(*(side.rename_columns([c[2:] for c in side.column_names]) for side in (a, b)), k)
 
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(cell, schema)
+    return left.groupBy(*[f"q_{c}" for c in key]).cogroup(right.groupBy(*[f"c_{c}" for c in key])).applyInArrow(cell, schema)
 
 
 def rrf(rankings: dict[str, DataFrame], k: int = 60, limit: int | None = 25) -> DataFrame:

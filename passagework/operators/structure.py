@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import text as t
 from passagework.functions.sequence import carried, upper_median
+from passagework.session import cut
 
 # How much larger than body text a heading is, sizes taken as one, deepest level,
 # share and least characters of a second body size, paragraph gap, table overlap, scanned page.
@@ -110,12 +111,13 @@ def merge_paragraphs(lines: DataFrame) -> DataFrame:
     """
     before = carried(lines, DOC, "order", last_before={"prev": F.struct("page", "y1", "font_size", F.col("level").isNotNull().alias("heading"))})
     gap = F.col("y0") - F.col("prev.y1")
-    gaps = before.withColumn("__gap", F.when(F.col("prev.page") == F.col("page"), gap))
+    gaps = cut(before.withColumn("__gap", F.when(F.col("prev.page") == F.col("page"), gap)))
     usual = upper_median(gaps, DOC, "__gap", "usual")
     rows = gaps.join(usual, "document_id", "left")
     wide = gap > F.coalesce("usual", F.lit(0.0)) + F.greatest(F.lit(GAP_LEAST), F.col("prev.font_size") * GAP_RATIO)
     starts = F.col("level").isNotNull() | F.col("prev").isNull() | F.col("prev.heading") | (F.col("prev.page") != F.col("page")) | wide
-    rows = carried(rows.withColumn("__starts", starts), DOC, "order", last={"block": F.when(F.col("__starts"), F.col("order"))})
+    rows = cut(rows.withColumn("__starts", starts).drop("prev", "usual", "__gap"))
+    rows = carried(rows, DOC, "order", last={"block": F.when(F.col("__starts"), F.col("order"))})
     # A paragraph lies on one page, so its lines may be collected.
     here = F.array_sort(F.collect_list(F.struct("order", "text")))
     blocks = rows.groupBy("document_id", "block").agg(

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+ROW_GROUP = 8 << 20
 
 
 def build_session(app: str = "passagework", master: str | None = None, **conf: str) -> SparkSession:
