@@ -17,7 +17,7 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """
     # Whole files, so that lines keep their number; a gold file is written by hand.
     lines = (
-        spark.read.option("wholetext", True).text(path)
+        spark.read.text(path, wholetext=True)
         .select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "raw"))
         .select("file", (F.col("line") + 1).alias("line"), strip("raw").alias("raw"))
         .filter((F.col("raw") != "") & ~F.startswith("raw", F.lit("//")))
