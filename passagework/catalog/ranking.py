@@ -8,15 +8,15 @@ from passagework.catalog import sql
 from passagework.catalog.frames import (
     document_index, embedded_documents, embedded_passages, passage_qrels, passages, stored_postings, table, whole_documents,
 )
-from passagework.functions import sparse as sp
 from passagework.functions import vectors as v
 from passagework.operators import evaluation as ev
 from passagework.operators import retrieval as r
 from passagework.operators.rerank import rerank_shift
 from passagework.operators.significance import compare_strategies, sign_test
 from passagework.plans.evaluate import ranked_by_strategy
-from passagework.plans.retrieve import Index, retrieve
-from passagework.session import cut
+from passagework.plans.retrieve import retrieve
+from passagework.session import cut, work_dir
+from passagework.sources.reports import reanalyse, write_report
 
 QUERIES, ORACLES = {}, {}
 
@@ -199,6 +199,20 @@ def compare(spark, sf):
                     near("p_sign"), "p_bootstrap", near("ci_low"), near("ci_high"))
 
 
+@check("reanalyse_report", f"""WITH {sql.METRICS} SELECT m.strategy, m.metric, count(*) AS n, round(avg(m.value - b.value), 6)::DOUBLE AS difference, count(*) FILTER (round(m.value - b.value, 12) > 0) AS wins
+    FROM metrics m JOIN metrics b ON b.query_id = m.query_id AND b.metric = m.metric AND b.strategy = 'hybrid' WHERE m.strategy <> 'hybrid' AND m.metric IN ('mrr', 'ndcg@5', 'recall@5') GROUP BY ALL""")
+def reanalyse_report(spark, sf):
+    path = work_dir(spark)
+    write_report(cut(_measured(spark, sf)), path)
+    return reanalyse(spark, path, "hybrid", resamples=200).select("strategy", "metric", "n", F.round("difference", 6).alias("difference"), "wins")
+
+
+@check("compare_runs", f"WITH {sql.FUSED}, {sql.STRATEGIES} SELECT query_id, chunk_id, rank, strategy FROM ranked")
+def compare_runs(spark, sf):
+    ranked = ranked_by_strategy(embedded_passages(spark, sf), document_index(spark, sf), ("bm25", "dense", "hybrid"), 10, stem=False)
+    return ranked.select("query_id", "chunk_id", "rank", "strategy")
+
+
 @check("stale_gold_ids", f"WITH {sql.QRELS} SELECT DISTINCT chunk_id FROM qrels WHERE chunk_id NOT IN (SELECT doc_id FROM labels)")
 def stale_gold_ids(spark, sf):
     return ev.stale_ids(passage_qrels(spark, sf), table(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id")))
