@@ -23,13 +23,15 @@ def carried(df: DataFrame, keys: Sequence[str], order: str, *, last: dict[str, C
             width: int = WIDTH) -> DataFrame:
     """Adds running columns in group order, in one pass.
 
-    `last` and `last_before` give an expression's latest non-null value, with or without the
+    Keys and order must not be null. `last` and `last_before` give an expression's latest non-null value, with or without the
     row itself; `sums` and `sums_before` its running sum; `totals` its sum over the group.
     """
     latest = {**(last or {}), **(last_before or {})}
     added = {**(sums or {}), **(sums_before or {})}
     inputs = {**latest, **added, **(totals or {})}
-    cut = df.select("*", F.floor(F.col(order) / width).cast("bigint").alias(_STRETCH),
+    # Integer division: exact for any bigint.
+    stretch = F.expr(f"cast(`{order}` as bigint) div {width}L").alias(_STRETCH)
+    cut = df.select("*", stretch,
                     *[e.alias(f"__v_{n}") for n, e in inputs.items()])
     ends = cut.groupBy(*keys, _STRETCH).agg(
         *[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col(order))).alias(f"__e_{n}") for n in latest],
@@ -50,9 +52,10 @@ def carried(df: DataFrame, keys: Sequence[str], order: str, *, last: dict[str, C
         *[F.last(f"__v_{n}", ignorenulls=True).over(upto[n]).alias(f"__l_{n}") for n in latest],
         *[F.coalesce(F.sum(f"__v_{n}").over(upto[n]), F.lit(0)).alias(f"__l_{n}") for n in added],
     )
+    # Plain equality on the very columns of the window: the rows are shuffled and sorted once.
     same = F.lit(True)
     for k in (*keys, _STRETCH):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        same = same & (F.col(k) == F.col(f"__k_{k}"))
     joined = cut.join(ends, same, "left")
     kept = [c for c in df.columns if c not in inputs]
     return joined.select(

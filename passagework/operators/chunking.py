@@ -111,7 +111,7 @@ def fixed_window_chunks(blocks: DataFrame, target_tokens: int = 512, overlap_tok
         .withColumn("windows", F.greatest(F.ceil((F.col("total") - F.col("window")) / F.col("stride")) + 1, F.lit(1)).cast("bigint"))
         .select(F.col("document_id").alias("__doc"), "section", "window", "stride", "windows")
     )
-    rows = rows.join(whole, F.col("document_id").eqNullSafe(F.col("__doc"))).drop("__doc")
+    rows = rows.join(whole, F.col("document_id") == F.col("__doc")).drop("__doc")
     first = F.greatest(F.lit(0), F.floor((F.col("first_word") - F.col("window")) / F.col("stride")) + 1).cast("bigint")
     last = F.least(F.col("windows") - 1, F.floor((F.col("first_word") + F.col("n_words") - 1) / F.col("stride"))).cast("bigint")
 
@@ -299,7 +299,7 @@ def structural_chunks(blocks: DataFrame, target_tokens: int = 512, overlap_token
     one = groups.select(*DOC, "at", *part)
     two = groups.select(*[F.col(c).alias(f"b_{c}") for c in (*DOC, "at", *part)])
     rows = plan.join(one, [*DOC, "at"]).join(
-        two, F.col("document_id").eqNullSafe(F.col("b_document_id")) & (F.col("folded_at") == F.col("b_at")), "left")
+        two, (F.col("document_id") == F.col("b_document_id")) & (F.col("folded_at") == F.col("b_at")), "left")
     both = F.col("folded_at").isNotNull()
     deeper = both & (F.size("b_heading_path") > F.size("heading_path"))
     pick = lambda c: F.when(deeper, F.col(f"b_{c}")).otherwise(F.col(c)).alias(c)
@@ -322,7 +322,7 @@ def _fold_small(groups: DataFrame, target: int, least: int) -> DataFrame:
     ordered = cut(with_position(groups, DOC, "at", "pos", width=_WIDE))
     following = ordered.select(
         *[F.col(c).alias(f"next_{c}") for c in (*DOC, "at", "tokens", "heading_path")], (F.col("pos") - 1).alias("pos_before"))
-    rows = ordered.join(following, F.col("document_id").eqNullSafe(F.col("next_document_id")) & (F.col("pos") == F.col("pos_before")), "left")
+    rows = ordered.join(following, (F.col("document_id") == F.col("next_document_id")) & (F.col("pos") == F.col("pos_before")), "left")
     depth = F.size("heading_path")
     related = (depth == 0) | (F.slice("next_heading_path", F.lit(1), F.greatest(depth, F.lit(1))) == F.col("heading_path"))
     fits = (F.col("tokens") < least) & related & (F.col("tokens") + F.col("next_tokens") <= OVERSIZE * target)

@@ -102,14 +102,15 @@ def image_context(images: DataFrame, blocks: DataFrame) -> DataFrame:
 
     Only the blocks that reach into those characters are put together.
     """
-    slide = ["document_id", "slide"]
-    rows = carried(blocks.select(*slide, "order", "text"), slide, "order", sums_before={"__chars": F.length("text") + 1})
+    place = ["__d", "__s"]
+    # A document without slides has one place, number -1.
+    where = [F.col("document_id").alias("__d"), F.coalesce("slide", F.lit(-1)).alias("__s")]
+    rows = carried(blocks.select(*where, "order", "text"), place, "order", sums_before={"__chars": F.length("text") + 1})
     wanted = rows.filter(F.col("__chars") < CONTEXT_CHARS)
-    near = wanted.groupBy(*slide).agg(F.array_sort(F.collect_list(F.struct("order", "text"))).alias("parts"))
+    near = wanted.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("order", "text"))).alias("parts"))
     hint = F.substring(F.array_join(F.transform("parts", lambda p: p["text"]), " "), 1, CONTEXT_CHARS)
-    near = near.select(F.col("document_id").alias("__d"), F.col("slide").alias("__s"), hint.alias("context_hint"))
-    same = (F.col("document_id") == F.col("__d")) & F.col("slide").eqNullSafe(F.col("__s"))
-    return images.join(near, same, "left").drop("__d", "__s").withColumn("context_hint", F.coalesce("context_hint", F.lit("")))
+    near = near.select(*place, hint.alias("context_hint"))
+    return images.select("*", *where).join(near, place, "left").drop(*place).withColumn("context_hint", F.coalesce("context_hint", F.lit("")))
 
 
 def next_retry(unread: Column, quota_spent: Column, tries: Column) -> Column:

@@ -24,14 +24,13 @@ def paired_bootstrap(differences: DataFrame, resamples: int = RESAMPLES, seed: i
     Draws are made once per sample size and joined to the differences by place, so the work is
     resamples x n rows spread over the cluster; nothing is gathered.
     """
-    spark = differences.sparkSession
     w = Window.partitionBy(*PAIR).orderBy("query_id")
     placed = differences.select(*PAIR, "n", "difference", (F.row_number().over(w) - 1).cast("bigint").alias("place"))
-    reps = spark.range(resamples).withColumnRenamed("id", "rep")
-    sizes = placed.select("n").distinct()
+    upto = lambda last: F.explode(F.sequence(F.lit(0).cast("bigint"), last))
     drawn = (
-        reps.join(F.broadcast(sizes))  # one row per distinct run size: at most strategies x metrics
-        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+        placed.select("n").distinct()  # run sizes: at most strategies x metrics
+        .withColumn("rep", upto(F.lit(resamples - 1))).repartition("n", "rep")
+        .withColumn("j", upto(F.col("n") - 1))
         .select("n", "rep", draw(seed, F.col("rep"), F.col("j"), F.col("n")).alias("place"))
         .groupBy("n", "rep", "place").agg(F.count("*").alias("times"))
     )
