@@ -154,13 +154,13 @@ def stratified_spread(spark, sf):
     return sm.stratified_spread(rows, 4, 7, id_="key").select("document_id", "chunk_index")
 
 
-@check("pick_fresh", f"""WITH {SPREAD}, u AS (SELECT *, i % 3 = 0 AS used FROM n),
+@check("pick_fresh", f"""WITH {SPREAD}, u AS (SELECT *, i < 3 AS used FROM n),
     p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, used ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY doc_id, used) AS m, count(*) FILTER (NOT used) OVER (PARTITION BY doc_id) AS fresh FROM u),
     q AS (SELECT *, CASE WHEN used THEN greatest(4 - fresh, 0) ELSE 4 END AS want FROM p)
     SELECT doc_id AS document_id, i AS chunk_index FROM q WHERE want > 0 AND (want >= m OR EXISTS (SELECT 1 FROM range(4) g(s) WHERE s < want AND floor(s * (m / want::DOUBLE))::BIGINT = j))""")
 def pick_fresh(spark, sf):
     pool = _windows(spark, sf).withColumn("chunk_id", F.concat("document_id", F.lit("/"), "chunk_index"))
-    return sm.pick_fresh(pool, 4, pool.filter("chunk_index % 3 = 0")).select("document_id", "chunk_index")
+    return sm.pick_fresh(pool, 4, pool.filter("chunk_index < 3")).select("document_id", "chunk_index")
 
 
 @check("spread_by_document")
@@ -213,16 +213,17 @@ def evidence(spark, sf):
                     cx.off_topic(F.col("similarity"), F.col("relevance"), no).alias("off_topic"), cx.worth_recheck(F.col("relevance"), no).alias("recheck"))
 
 
-@check("apply_scores", f"""WITH {sql.SPARSE}, c AS (SELECT *, (chunk_id * 37 + rank * 11) % 101 AS v FROM sparse WHERE rank <= 25),
-    s AS (SELECT *, query_id % 4 <> 0 AS answered FROM c),
-    k AS (SELECT query_id, chunk_id, rank AS before, CASE WHEN answered THEN v / 100.0 END AS rerank_score FROM s WHERE NOT answered OR rank % 2 = 1)
+@check("apply_scores", f"""WITH {sql.SPARSE}, c AS (SELECT *, (chunk_id * 37 + rank * 11) % 101 AS v, chunk_id IN (SELECT doc_id FROM labels) AS scored FROM sparse WHERE rank <= 25),
+    s AS (SELECT *, bool_or(scored) OVER (PARTITION BY query_id) AS answered FROM c),
+    k AS (SELECT query_id, chunk_id, rank AS before, CASE WHEN answered THEN v / 100.0 END AS rerank_score FROM s WHERE NOT answered OR scored)
     SELECT query_id, chunk_id, rerank_score::DOUBLE AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, before) AS rank FROM k QUALIFY rank <= 8""")
 def apply_scores(spark, sf):
     docs = whole_documents(spark, sf)
     cand = cut(r.sparse_search(passages(spark, sf), stored_postings(spark, sf), docs, 25, stem=False))
-    # Odd ranks are scored, and positions past the end too; every fourth query gets only those.
-    scores = cand.filter("query_id % 4 <> 0 AND rank % 2 = 1").select("query_id", (F.col("rank") - 1).alias("position"), (((F.col("chunk_id") * 37 + F.col("rank") * 11) % 101) / 100).alias("relevance"))
-    scores = scores.unionByName(cand.filter("rank = 1").select("query_id", F.lit(99).alias("position"), F.lit(1.0).alias("relevance")))
+    # Labelled documents are scored; every query also gets a score for a position it does not have.
+    labelled = cand.join(table(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
+    scores = labelled.select("query_id", (F.col("rank") - 1).alias("position"), (((F.col("chunk_id") * 37 + F.col("rank") * 11) % 101) / 100).alias("relevance"))
+    scores = scores.unionByName(passages(spark, sf).select("query_id", F.lit(99).alias("position"), F.lit(1.0).alias("relevance")))
     return rr.apply_scores(cand, scores, 8).select("query_id", "chunk_id", "rerank_score", "rank")
 
 

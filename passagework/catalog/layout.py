@@ -118,7 +118,7 @@ def structured(spark, sf):
 
 # Events as pictures: a user's are one document, equal k the same picture.
 PICTURES = r"""pictures AS (SELECT user_id AS document_id, event_id AS ord, day(ts) AS slide, (value * 2000)::INT AS pixels, 'h' || regexp_extract(props, '\d+') AS content_hash, regexp_extract(props, '\d+')::INT AS k FROM events),
-    held AS (SELECT DISTINCT content_hash, CASE WHEN k % 6 = 0 THEN NULL ELSE 'read ' || k END AS reading FROM pictures WHERE k % 3 = 0),
+    held AS (SELECT DISTINCT content_hash, CASE WHEN k % 6 = 0 THEN NULL ELSE 'read ' || k END AS reading FROM pictures WHERE k < 40),
     judged AS (SELECT *, pixels > 0 AND pixels < 40000 AS small, min(CASE WHEN NOT (pixels > 0 AND pixels < 40000) THEN ord END) OVER (PARTITION BY document_id, content_hash) AS first_ord FROM pictures),
     chosen AS (SELECT *, CASE WHEN small THEN 'small' WHEN ord > first_ord THEN 'duplicate' ELSE 'chosen' END AS status FROM judged)"""
 
@@ -131,7 +131,7 @@ def pictures(spark, sf):
 
 
 def readings(spark, sf):
-    p = pictures(spark, sf).filter("k % 3 = 0").select("content_hash", "k").distinct()
+    p = pictures(spark, sf).filter("k < 40").select("content_hash", "k").distinct()
     return p.select(F.lit("m").alias("model_key"), "content_hash", F.when(F.col("k") % 6 != 0, F.concat(F.lit("read "), "k")).alias("reading"))
 
 
@@ -158,7 +158,7 @@ def vision_stats(spark, sf):
     return im.vision_stats(im.reading_cache_join(pictures(spark, sf), readings(spark, sf), "m", 5))
 
 
-@check("fan_out_readings", f"""WITH {PICTURES}, p AS (SELECT document_id, ord, k FROM pictures WHERE k % 3 = 0)
+@check("fan_out_readings", f"""WITH {PICTURES}, p AS (SELECT document_id, ord, k FROM pictures WHERE k < 40)
     SELECT document_id, ord, 'heading' AS type, 2 AS level, '1.' || k || ' Title' AS text FROM p WHERE k % 2 = 0
     UNION ALL SELECT document_id, ord, 'figure', NULL, 'body ' || k || chr(10) || 'Table 3' || chr(10) || 'more' FROM p WHERE k % 2 = 0
     UNION ALL SELECT document_id, ord, 'heading', 3, 'Bold' FROM p WHERE k % 2 = 0 UNION ALL SELECT document_id, ord, 'figure', NULL, 'end' FROM p WHERE k % 2 = 0
@@ -166,7 +166,7 @@ def vision_stats(spark, sf):
 def fan_out_readings(spark, sf):
     p = pictures(spark, sf)
     said = F.concat(F.lit("# 1."), "k", F.lit(" Title\nbody "), "k", F.lit("\n## Table 3\nmore\n### **Bold** ##\nend\n"))
-    known = p.select("content_hash", "k").distinct().select("content_hash", F.when(F.col("k") % 3 == 0, said).alias("reading"))
+    known = p.select("content_hash", "k").distinct().select("content_hash", F.when(F.col("k") < 40, said).alias("reading"))
     return im.fan_out_readings(p, known).select("document_id", F.col("order").alias("ord"), "type", "level", "text")
 
 

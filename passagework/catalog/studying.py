@@ -213,10 +213,11 @@ def attempt_score(spark, sf):
 
 
 WRITTEN = """answers AS (SELECT o_orderkey AS attempt_id, o_custkey AS question_id, 'It is ' || o_orderpriority AS correct_answer FROM orders),
-    grades AS (SELECT o_orderkey AS attempt_id, CASE WHEN o_orderstatus = 'F' THEN 'most of it' WHEN o_orderstatus = 'P' THEN NULL ELSE (o_totalprice / 400000)::VARCHAR END AS awarded, CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE 'Well done' END AS feedback FROM orders WHERE o_orderkey % 5 <> 0)"""
+    grades AS (SELECT o_orderkey AS attempt_id, CASE WHEN o_orderstatus = 'F' THEN 'most of it' WHEN o_orderstatus = 'P' THEN NULL ELSE (o_totalprice / 400000)::VARCHAR END AS awarded, CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE 'Well done' END AS feedback FROM orders WHERE o_orderpriority <> '5-LOW'),
+    failures AS (SELECT o_orderkey AS attempt_id FROM orders WHERE o_orderpriority = '1-URGENT')"""
 
 
-@check("apply_written_grades", f"""WITH {WRITTEN}, j AS (SELECT a.*, g.attempt_id IS NOT NULL AND a.attempt_id % 7 <> 0 AS marked, a.attempt_id % 7 = 0 AS lost, greatest(0, least(1, coalesce(try_cast(g.awarded AS DOUBLE), 0))) AS credit, trim(g.feedback) AS said
+@check("apply_written_grades", f"""WITH {WRITTEN}, j AS (SELECT a.*, g.attempt_id IS NOT NULL AND a.attempt_id NOT IN (FROM failures) AS marked, a.attempt_id IN (FROM failures) AS lost, greatest(0, least(1, coalesce(try_cast(g.awarded AS DOUBLE), 0))) AS credit, trim(g.feedback) AS said
         FROM answers a LEFT JOIN grades g USING (attempt_id))
     SELECT attempt_id, round(CASE WHEN marked THEN credit ELSE 0 END, 9)::DOUBLE AS awarded, marked AND credit >= 0.7 AS is_correct,
         CASE WHEN marked THEN coalesce(nullif(said, ''), 'See notes.') WHEN lost THEN '{gr.FAILED}' || correct_answer ELSE '{gr.UNMARKED}' || correct_answer END AS feedback FROM j""")
@@ -224,8 +225,8 @@ def apply_written_grades(spark, sf):
     o = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "attempt_id").withColumnRenamed("o_custkey", "question_id")
     answers = o.select("attempt_id", "question_id", F.concat(F.lit("It is "), "o_orderpriority").alias("correct_answer"), F.lit("See notes.").alias("explanation"))
     said = F.when(F.col("o_orderstatus") == "F", "most of it").when(F.col("o_orderstatus") != "P", (F.col("o_totalprice") / 400000).cast("string"))
-    grades = o.filter("attempt_id % 5 <> 0").select("attempt_id", "question_id", said.alias("awarded"), F.when(F.col("attempt_id") % 3 == 0, " ").otherwise("Well done").alias("feedback"))
-    failed = o.filter("attempt_id % 7 = 0").select("attempt_id", "question_id")
+    grades = o.filter("o_orderpriority <> '5-LOW'").select("attempt_id", "question_id", said.alias("awarded"), F.when(F.col("attempt_id") % 3 == 0, " ").otherwise("Well done").alias("feedback"))
+    failed = o.filter("o_orderpriority = '1-URGENT'").select("attempt_id", "question_id")
     return gr.apply_written_grades(answers, grades, failed).select("attempt_id", F.round("awarded", 9).alias("awarded"), "is_correct", "feedback")
 
 

@@ -13,10 +13,7 @@ SWEEP = 50
 
 
 def keyset_page(df: DataFrame, limit: int, before: Column | None = None, time: str = "created_at", key: str = "id") -> DataFrame:
-    """The newest `limit` rows older than the cursor, which is null on a page that came up short.
-
-    One row more than the page is read to tell whether another page follows.
-    """
+    """The newest `limit` rows older than the cursor, with the next cursor: null on a short page."""
     rows = df if before is None else df.filter(F.col(time) < before)
     page = rows.orderBy(F.desc(time), F.desc(key)).limit(limit)
     every = Window.partitionBy()  # at most `limit` rows
