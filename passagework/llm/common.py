@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from passagework.session import cut
+
 #: A word is a run of anything but ASCII white space (fixed by the result contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,3 +23,24 @@ def whole(text: str = "text") -> Column:
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, text) only, whatever other columns the input has; null text is empty."""
     return docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
+
+
+def ranked(df: DataFrame, order: list, sums_before: dict[str, Column], rank: str | None = None) -> DataFrame:
+    """Running sums (and 0-based ranks) over the whole frame in a sorted order, without one window over all rows.
+
+    The rows are range-sorted and written once; each sorted partition is then summed on its own, and one row per
+    partition carries the sums across. Ties in `order` fall either way.
+    """
+    inputs = {**sums_before, **({rank: F.lit(1).cast("bigint")} if rank else {})}
+    sorted_rows = cut(
+        df.select("*", *[e.alias(f"__v_{n}") for n, e in inputs.items()]).orderBy(*order)
+        .withColumn("__at", F.monotonically_increasing_id())
+    ).withColumn("__part", F.shiftright("__at", 33))
+    totals = sorted_rows.groupBy("__part").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in inputs])
+    # One row per sorted partition.
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("__part").alias("__p"), *[F.coalesce(F.sum(f"__t_{n}").over(upto), F.lit(0)).alias(f"__o_{n}") for n in inputs])
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = sorted_rows.select("*", *[F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)).alias(f"__i_{n}") for n in inputs])
+    return summed.join(offsets, F.col("__part") == F.col("__p")).select(
+        *df.columns, *[(F.col(f"__i_{n}") + F.col(f"__o_{n}")).alias(n) for n in inputs])

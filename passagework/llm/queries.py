@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from passagework.llm.common import table
 from passagework.llm.exact import exact_dedup
+from passagework.llm.mixing import mix
+from passagework.llm.quality import quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +30,38 @@ def _query(name: str, sql: str | None = None):
     FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""")
 def _exact(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(table(spark, sf, "documents"), keep="largest")
+
+
+@_query("op10_mix_sources", r"""
+    WITH d AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+               ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+    w AS (SELECT *, [3.0, 1.0, 2.0][place % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS most FROM s),
+    f AS (SELECT *, sum(most) OVER upto AS full_, sum(weight) OVER upto AS passed,
+                 1.5::DOUBLE * sum(source_size) OVER () AS goal, sum(weight) OVER () AS weights
+          FROM w WINDOW upto AS (ORDER BY most / weight, place)),
+    c AS (SELECT *, full_ + most / weight * (weights - passed) < goal AS capped FROM f),
+    t AS (SELECT source, source_size, place, CASE WHEN capped THEN most ELSE least(most, weight * (
+                 SELECT (max(goal) - coalesce(sum(most) FILTER (capped), 0)) / sum(weight) FILTER (NOT capped) FROM c)) END::DOUBLE AS target FROM c),
+    o AS (SELECT doc_id, size, source_size, target, place, round(target)::BIGINT AS asked,
+                 sum(size) OVER (PARTITION BY d.source ORDER BY hash, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS at_,
+                 CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS rounds
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    p AS (SELECT *, greatest(0, least(size, asked - rounds * source_size - at_)) AS part, at_::DOUBLE / asked AS due FROM o)
+    SELECT doc_id, size, source_size, target, size * rounds + part AS taken,
+           (rounds + CASE WHEN part > 0 AND 2 * part >= size THEN 1 ELSE 0 END)::INTEGER AS copies,
+           CASE WHEN size * rounds + part > 0 THEN floor(1e12 * CASE place % 3
+                WHEN 0 THEN 2.0::DOUBLE * due / (1.5::DOUBLE + sqrt(2.25::DOUBLE - 2.0::DOUBLE * due))
+                WHEN 1 THEN due
+                ELSE CASE WHEN due - 0.375::DOUBLE >= 0
+                     THEN 0.5::DOUBLE + 2.0::DOUBLE * (due - 0.375::DOUBLE) / (1.0::DOUBLE + sqrt(1.0::DOUBLE + 2.0::DOUBLE * (due - 0.375::DOUBLE)))
+                     ELSE 2.0::DOUBLE * due / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2.0::DOUBLE * due)) END END)::BIGINT END AS position
+    FROM p""")
+def _mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(table(spark, sf, "documents"))
+
+
+@_query("op6_quality_rules")
+def _quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
