@@ -79,7 +79,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     goals = by_source.join(starts, F.col("source").eqNullSafe(F.col("s_source"))).select("s_source", "start", "source_size", "place", "target")
     rows = ordered.join(goals, F.col("source").eqNullSafe(F.col("s_source")))
     asked = F.round("target").cast("bigint")
-    rounds = F.when(F.col("source_size") > 0, F.expr("round(target) div source_size")).otherwise(F.lit(0)).cast("bigint")
+    rounds = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("bigint")
     rows = rows.select("*", asked.alias("asked"), rounds.alias("rounds"), (F.col("before") - F.col("start")).alias("at"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("asked") - F.col("rounds") * F.col("source_size") - F.col("at"))).cast("bigint")
     rows = rows.withColumn("part", part).withColumn("taken", F.col("size") * F.col("rounds") + F.col("part"))
