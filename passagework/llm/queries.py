@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from passagework.llm.common import table
 from passagework.llm.exact import exact_dedup
 from passagework.llm.mixing import mix
 from passagework.llm.quality import quality
+from passagework.llm.simhash import near_groups
+from passagework.llm.tokens import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +68,13 @@ def _mix(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op6_quality_rules")
 def _quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@_query("op1_simhash_near_dedup")
+def _near(spark: SparkSession, sf: str) -> DataFrame:
+    return near_groups(table(spark, sf, "documents"))
+
+
+@_query("op2_token_counts")
+def _tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return count_tokens(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
