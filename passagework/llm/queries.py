@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from passagework.llm.bpe import encode
 from passagework.llm.common import table
 from passagework.llm.exact import exact_dedup
 from passagework.llm.mixing import mix
@@ -78,3 +79,8 @@ def _near(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op2_token_counts")
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op9_byte_bpe")
+def _bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return encode(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
