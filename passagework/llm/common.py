@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +48,17 @@ def ranked(df: DataFrame, order: list, sums_before: dict[str, Column], rank: str
     summed = sorted_rows.select("*", *[F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)).alias(f"__i_{n}") for n in inputs])
     return summed.join(offsets, F.col("__part") == F.col("__p")).select(
         *df.columns, *[(F.col(f"__i_{n}") + F.col(f"__o_{n}")).alias(n) for n in inputs])
+
+
+def portions(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch of about `most` bytes of text or one row, each with its text as one byte array and the texts' offsets."""
+    texts = batch.column("text").cast(pa.large_binary())
+    if not len(texts):
+        return
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    held = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
+        yield batch.slice(start, end - start), held[at[start]:at[end]], at[start:end + 1] - at[start]
+        start = end

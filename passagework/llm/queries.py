@@ -13,6 +13,7 @@ from passagework.llm.exact import exact_dedup
 from passagework.llm.mixing import mix
 from passagework.llm.quality import quality
 from passagework.llm.simhash import near_groups
+from passagework.llm.substrings import drop_repeated_chunks
 from passagework.llm.tokens import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +85,8 @@ def _tokens(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op9_byte_bpe")
 def _bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encode(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query("op7_substring_dedup")
+def _substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return drop_repeated_chunks(table(spark, sf, "documents")).drop("kept")
