@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from passagework.llm.bpe import encode
 from passagework.llm.common import table
 from passagework.llm.exact import exact_dedup
+from passagework.llm.lines import BREAK, EDGES, HIDDEN, TAG, drop_boilerplate
 from passagework.llm.mixing import mix
 from passagework.llm.quality import quality
 from passagework.llm.simhash import near_groups
 from passagework.llm.substrings import drop_repeated_chunks
 from passagework.llm.tokens import count_tokens
+from passagework.llm.urls import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +93,62 @@ def _bpe(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op7_substring_dedup")
 def _substrings(spark: SparkSession, sf: str) -> DataFrame:
     return drop_repeated_chunks(table(spark, sf, "documents")).drop("kept")
+
+
+_HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@_query("op3_line_dedup", rf"""
+    WITH p AS (
+        SELECT page_id, {_HOST} AS host, [y FOR y IN [
+                   regexp_replace(regexp_replace(x, '{TAG}', '', 'g'), '{EDGES}', '', 'g')
+                   FOR x IN string_split_regex(regexp_replace(coalesce(html, ''), '{HIDDEN}', ' ', 'g'), '{BREAK}')] IF y <> ''] AS lines
+        FROM pages),
+    t AS (SELECT host, count(*) AS pages FROM p GROUP BY host HAVING count(*) >= 5),
+    o AS (SELECT host, list(line) AS often FROM (
+              SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY ALL) JOIN t USING (host)
+          WHERE n > 1 AND n / pages > 0.2 GROUP BY host),
+    k AS (SELECT page_id, host, lines, [x FOR x IN lines IF NOT list_contains(coalesce(often, []), x)] AS kept FROM p LEFT JOIN o USING (host))
+    SELECT page_id, host, len(lines)::INTEGER AS n_lines, (len(lines) - len(kept))::INTEGER AS n_dropped,
+           sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM k""")
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    made = drop_boilerplate(table(spark, sf, "pages"))
+    return made.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
+
+
+def _template_sql(depth: int, support: int, z2: str) -> str:
+    """One level of the tree after another."""
+    parts = ["l0 AS (SELECT *, [x FOR x IN string_split(shape, '/') IF x <> ''] AS segments, '' AS template FROM shapes)"]
+    for n in range(depth):
+        parts.append(f"""
+    b{n} AS (SELECT *, segments[{n + 1}] AS branch FROM l{n}),
+    n{n} AS (SELECT host, template, branch, sum(pages) AS pages, sum(judged) AS judged, sum(good) AS good FROM b{n} WHERE branch IS NOT NULL GROUP BY ALL),
+    w{n} AS (SELECT *, sum(judged) OVER same AS all_judged, sum(good) OVER same AS all_good FROM n{n} WINDOW same AS (PARTITION BY host, template)),
+    k{n} AS (SELECT host, template, branch, true AS own FROM w{n} WHERE pages >= {support} AND judged > 0 AND all_judged > judged
+             AND (good::DOUBLE / judged - (all_good - good)::DOUBLE / (all_judged - judged)) ** 2
+               > {z2} * (all_good::DOUBLE / all_judged) * (1 - all_good::DOUBLE / all_judged) * (1.0::DOUBLE / judged + 1.0::DOUBLE / (all_judged - judged))),
+    l{n + 1} AS (SELECT b.host, shape, pages, judged, good, segments,
+                 b.template || CASE WHEN b.branch IS NULL THEN '' WHEN own THEN '/' || b.branch ELSE '/*' END AS template
+                 FROM b{n} b LEFT JOIN k{n} k ON b.host = k.host AND b.template = k.template AND b.branch = k.branch)""")
+    parts.append(f"""
+    placed AS (SELECT host, shape, pages, judged, good, template || CASE WHEN len(segments) > {depth} THEN '/**' ELSE '' END AS template FROM l{depth})""")
+    return ",".join(parts)
+
+
+@_query("op5_url_filters", rf"""
+    WITH p AS (SELECT page_id, {_HOST} AS host, regexp_extract(coalesce(url, ''), '(?s)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    s AS (SELECT *, regexp_replace(path, '[0-9]+', '#', 'g') AS shape FROM p),
+    known AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+    shapes AS (SELECT host, shape, count(*) AS pages, count(quality) AS judged, count(*) FILTER (quality = 1) AS good
+               FROM s LEFT JOIN known ON page_id = doc_id GROUP BY host, shape),
+    {_template_sql(4, 20, "(1.96::DOUBLE * 1.96::DOUBLE)")},
+    hosts AS (SELECT host, (sum(good) + 20.0::DOUBLE * (SELECT coalesce(sum(good)::DOUBLE / nullif(sum(judged), 0), 1) FROM placed)) / (sum(judged) + 20.0::DOUBLE) AS host_purity
+              FROM placed GROUP BY host),
+    t AS (SELECT host, template, (sum(good) + 20.0::DOUBLE * max(host_purity)) / (sum(judged) + 20.0::DOUBLE) AS purity FROM placed JOIN hosts USING (host) GROUP BY host, template),
+    rules(name, start, says) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+    fits AS (SELECT host, path, arg_max(name || start, length(name || start)) AS rule, arg_max(says, length(name || start)) AS says
+             FROM (SELECT DISTINCT host, path FROM s) JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY host, path)
+    SELECT page_id, host, path, rule, coalesce(says, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity
+    FROM s JOIN placed USING (host, shape) JOIN t USING (host, template) LEFT JOIN fits USING (host, path)""")
+def _urls(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_urls(table(spark, sf, "pages"), table(spark, sf, "labels"))
