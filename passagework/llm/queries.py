@@ -16,6 +16,7 @@ from passagework.llm.mixing import mix
 from passagework.llm.quality import quality
 from passagework.llm.simhash import near_groups
 from passagework.llm.substrings import drop_repeated_chunks
+from passagework.llm.suffixes import drop_repeats
 from passagework.llm.tokens import count_tokens
 from passagework.llm.urls import filter_urls
 
@@ -152,3 +153,8 @@ def _template_sql(depth: int, support: int, z2: str) -> str:
     FROM s JOIN placed USING (host, shape) JOIN t USING (host, template) LEFT JOIN fits USING (host, path)""")
 def _urls(spark: SparkSession, sf: str) -> DataFrame:
     return filter_urls(table(spark, sf, "pages"), table(spark, sf, "labels"))
+
+
+@_query("op4_suffix_array_dedup")
+def _repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return drop_repeats(table(spark, sf, "documents")).drop("spans")

@@ -100,7 +100,7 @@ def count_pieces(pretokens: DataFrame, spec: str) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", *, limit: int = 2048,
-                 carried: int = 1 << 16, carried_bytes: int = 48, glance: int = 2_000) -> DataFrame:
+                 carried: int = 1 << 17, carried_bytes: int = 48, glance: int = 8_000) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens above `limit`).
 
     `tokenizer` is the path of a tokenizers .json file whose pre-tokens end at white space. Pieces of each distinct
