@@ -111,7 +111,7 @@ def asked(spark, sf):
 
 
 @check("route_query", f"""WITH {ASKED} SELECT conv_id, turn, CASE WHEN (conv_id + 2 * turn) % 5 <> 3 OR
-        len(list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda v: v NOT IN ({quoted([*cv.GENERIC, *cv.PLURAL_TOO, *(w + 's' for w in cv.PLURAL_TOO)])}) AND NOT regexp_matches(v, '{cv.GENERIC_SHAPES}'))) = 0
+        len(list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda v: v NOT IN ({quoted(cv.GENERIC)}))) = 0
     THEN 'whole' ELSE 'search' END AS route FROM asked""")
 def route_query(spark, sf):
     return cv.route_query(asked(spark, sf)).select("conv_id", "turn", "route")
@@ -238,7 +238,11 @@ def apply_listwise(spark, sf):
     return rr.apply_listwise(cand, orders, 8).select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
-@check("rerank_with_scorer")
+@check("rerank_with_scorer", f"""WITH {sql.SPARSE}, c AS (SELECT query_id, chunk_id, rank AS was FROM sparse WHERE rank <= 25),
+    s AS (SELECT query_id, chunk_id, was, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS q, list_distinct(regexp_extract_all(lower(left(d.text, 4000)), '[a-z0-9]+')) AS p
+          FROM c JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = chunk_id)
+    SELECT query_id, chunk_id, round(len(list_intersect(q, p)) / greatest(len(q), 1), 6) AS rerank_score,
+           row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(q, p)) DESC, was) AS rank FROM s QUALIFY rank <= 8""")
 def rerank_with_scorer(spark, sf):
     docs = whole_documents(spark, sf)
     cand = cut(r.sparse_search(passages(spark, sf), stored_postings(spark, sf), docs, 25, stem=False))

@@ -24,9 +24,9 @@ def check(name, oracle=None):
     return add
 
 
-def line_blocks(spark, sf):
+def line_blocks(spark, sf, docs=None):
     """One block per line; lines shaped like headings are headings, their length sets the level."""
-    docs = table(spark, sf, "documents")
+    docs = table(spark, sf, "documents") if docs is None else docs
     lines = docs.select(
         F.col("doc_id").alias("document_id"), F.col("source").alias("user_id"), F.concat(F.lit("doc-"), F.col("doc_id")).alias("document_name"),
         F.posexplode(F.split("text", "\n")).alias("order", "text"),
@@ -54,7 +54,7 @@ def uuid5_sql(namespace: str, name: str) -> str:
 
 
 NORMAL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'),
-    '\r\n?', chr(10), 'g'), '([\p{L}\p{N}_])-\n', '\1', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')"""
+    '\r\n?', chr(10), 'g'), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')"""
 
 
 @check("normalize_and_hash", rf"""WITH n AS (SELECT doc_id, regexp_replace({NORMAL}, '^\s+|\s+$', '', 'g') AS x FROM documents)

@@ -9,11 +9,17 @@ from passagework.functions.citations import shingles
 from passagework.functions.vectors import hashed_embedding
 from passagework.operators.retrieval import postings
 from passagework.plans.retrieve import Index
-from passagework.session import cut, spread
+from passagework.session import cut
 
 WIDTH = 64
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Gives the one file of a small test table to every core. Operators never do this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     return spread(df) if name in ("documents", "pages", "conversations") else df

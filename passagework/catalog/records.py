@@ -269,18 +269,21 @@ def alive_sources(spark, sf):
 
 @check("cached_embed", r"""WITH h AS (SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM documents),
     c AS (SELECT DISTINCT h FROM h JOIN labels USING (doc_id) WHERE quality = 1)
-    SELECT count(*) FILTER (h IN (FROM c)) AS hits, count(DISTINCT h) FILTER (h NOT IN (FROM c)) AS misses, count(*) AS embedded FROM h""")
+    SELECT count(*) FILTER (h IN (FROM c)) AS hits, count(DISTINCT h) FILTER (h NOT IN (FROM c)) AS misses, count(*) AS embedded,
+           count(DISTINCT h) FILTER (h NOT IN (FROM c)) AS appended, count(*) FILTER (h NOT IN (FROM c)) AS ones FROM h""")
 def cached_embed(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     good = docs.join(table(spark, sf, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
     cache = good.select(F.lit("hashed-16").alias("model_key"), t.content_hash("text").alias("content_hash"), hashed_embedding(16)("text").alias("vector")).dropDuplicates(["content_hash"])
 
     def embed(texts):
-        return [[float(len(x))] for x in texts]
+        return [[1.0] + [0.0] * 14 + [float(len(x))] for x in texts]
 
-    rows, _, counts = sc.cached_embed(docs, cache, embed, "hashed-16")
-    done = rows.filter(F.col("vector").isNotNull()).agg(F.count("*").alias("embedded"))
-    return counts.withColumn("embedded", done.scalar())
+    rows, fresh, counts = sc.cached_embed(docs, cache, embed, "hashed-16")
+    done = rows.filter(F.size("vector") == 16).agg(F.count("*").alias("embedded"))
+    # Fresh vectors end in the length of their text; held ones are unit vectors.
+    ones = rows.filter(F.col("vector")[15] == F.length("text")).agg(F.count("*").alias("ones"))
+    return counts.withColumn("embedded", done.scalar()).withColumn("appended", fresh.agg(F.count_distinct("content_hash", "vector")).scalar()).withColumn("ones", ones.scalar())
 
 
 @check("gold_from_headings", """SELECT 'what is ' || n_name AS question, 'Brand#' || n_nationkey AS heading, p_partkey AS chunk_id FROM nation JOIN part ON p_brand = 'Brand#' || n_nationkey""")

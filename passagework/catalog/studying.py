@@ -184,7 +184,7 @@ def dedupe_cards(spark, sf):
 @check("least_used", f"""WITH {CARDS}, u AS (SELECT set_id, doc_id, count(*) AS used FROM good GROUP BY ALL)
     SELECT p.set_id, p.chunk_id, coalesce(used, 0) AS used, row_number() OVER (PARTITION BY p.set_id ORDER BY coalesce(used, 0), chunk_index) AS place FROM passages p LEFT JOIN u ON u.set_id = p.set_id AND u.doc_id = p.chunk_id QUALIFY place <= 6""")
 def least_used(spark, sf):
-    kept = sd.dedupe_cards(_cards(spark, sf), 10_000_000).select("set_id", "chunk_id")
+    kept = sd.dedupe_cards(_cards(spark, sf), None).select("set_id", "chunk_id")
     return sd.least_used(study_passages(spark, sf), kept).select("set_id", "chunk_id", "used", "place")
 
 

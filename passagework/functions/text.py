@@ -27,7 +27,7 @@ UNSUPPORTED_TOKEN = "NOT_SUPPORTED"
 # Fixed value: characters counted as one token.
 CHARS_PER_TOKEN = 4.0
 
-_UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+_UUID = "^[0-9a-fA-F]{32}$"
 
 
 def col(value: Column | str) -> Column:
@@ -61,7 +61,7 @@ def tidy(text: Column | str) -> Column:
     x = F.coalesce(col(text), F.lit(""))
     x = F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     x = F.regexp_replace(x, r"\r\n?", "\n")
-    x = F.regexp_replace(x, r"(?U)(\w)-\n(?=\w)", "$1")
+    x = F.regexp_replace(x, r"(?U)(\w)-\n(\w)", "$1$2")
     x = F.regexp_replace(x, r"[ \t\u00a0]+", " ")
     x = F.regexp_replace(x, r"(?U)(?<=^|\n)[\s&&[^\n]]+|[\s&&[^\n]]+(?=\n|$)", "")
     x = F.regexp_replace(x, r"\n{3,}", "\n\n")
@@ -153,8 +153,9 @@ def chunk_id(document_id: Column | str, text: Column | str, composed: bool = Fal
 
 
 def valid_uuid(value: Column | str) -> Column:
-    """The canonical form, or null for anything that is not a UUID."""
-    return F.when(col(value).rlike(_UUID), F.lower(col(value)))
+    """The canonical form, or null for anything that is not a UUID. Hyphens, braces and `urn:uuid:` do not matter."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(col(value), "urn:|uuid:", ""), r"^[{}]+|[{}]+$", ""), "-", "")
+    return F.when(bare.rlike(_UUID), F.regexp_replace(F.lower(bare), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
 
 
 def as_uuid(label: Column | str) -> Column:

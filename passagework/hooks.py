@@ -17,6 +17,7 @@ from passagework.functions.text import UNSUPPORTED_TOKEN
 
 EMBED_BATCH = 64
 PASSAGE_CHARS = 4000
+STAND_IN = "The first source settles it [S1]."
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 Scorer = Callable[[str, Sequence[str]], Sequence[float]]
@@ -45,17 +46,33 @@ def embed(df: DataFrame, embedder: Embedder, text: str = "text", out: str = "vec
     return df.mapInPandas(run, _with_columns(df, T.StructField(out, T.ArrayType(T.DoubleType()))))
 
 
-def score(df: DataFrame, scorer: Scorer, query: str = "text", passage: str = "passage", out: str = "relevance") -> DataFrame:
-    """Adds the relevance of a passage to its query. The scorer sees one query's rows of a batch together."""
+def score(df: DataFrame, scorer: Scorer, key: str = "query_id", query: str = "text", passage: str = "passage", order: str = "rank",
+          out: str = "relevance", passage_chars: int = PASSAGE_CHARS) -> DataFrame:
+    """Adds the relevance of a passage to its query. The scorer is called once for each key, with all its passages in order,
+    each cut to `passage_chars`; a key's rows are its candidates, a few dozen at most."""
+
+    def scored(rows: pd.DataFrame) -> pd.DataFrame:
+        values = list(scorer(rows[query].iloc[0], [p[:passage_chars] for p in rows[passage]]))
+        if len(values) != len(rows):
+            raise ValueError(f"scorer returned {len(values)} scores for {len(rows)} passages")
+        return rows.assign(**{out: [float(v) for v in values]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
         for pdf in frames:
-            values = pd.Series(0.0, index=pdf.index)
-            for question, rows in pdf.groupby(query, sort=False):
-                values.loc[rows.index] = list(scorer(question, [p[:PASSAGE_CHARS] for p in rows[passage]]))
-            yield pdf.assign(**{out: values})
+            rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(rows):
+                continue
+            # The last key may go on in the next batch.
+            open_ = rows[key] == rows[key].iloc[-1]
+            held = rows[open_]
+            for _, group in rows[~open_].groupby(key, sort=False):
+                yield scored(group)
+        if held is not None and len(held):
+            yield scored(held)
 
-    return df.mapInPandas(run, _with_columns(df, T.StructField(out, T.DoubleType())))
+    grouped = df.repartition(key).sortWithinPartitions(key, order)
+    return grouped.mapInPandas(run, _with_columns(df, T.StructField(out, T.DoubleType())))
 
 
 def respond(df: DataFrame, responder: Responder, prompt: str = "prompt") -> DataFrame:
@@ -80,14 +97,7 @@ def stand_in_response(prompt: str) -> str:
     """Declines without a source, otherwise answers with one citation."""
     if "[S1]" not in prompt:
         return UNSUPPORTED_TOKEN
-    return "Based on the material, this is the answer [S1]."
-
-
-def stand_in_column(prompt) -> "F.Column":
-    """The same stand-in as a column expression, for plans that need no Python."""
-    return F.when(F.instr(prompt, "[S1]") > 0, F.lit("Based on the material, this is the answer [S1].")).otherwise(
-        F.lit(UNSUPPORTED_TOKEN)
-    )
+    return STAND_IN
 
 
 def overlap_scorer(question: str, passages: Sequence[str]) -> list[float]:

@@ -44,7 +44,7 @@ def label_chunks(chunks: DataFrame, keys: tuple[str, ...] = ("set_id",), size: i
 def batch_prompts(labelled: DataFrame, keys: tuple[str, ...] = ("set_id",)) -> DataFrame:
     """One passage text per batch; a batch is at most `BATCH` chunks."""
     part = F.concat(F.lit("["), "label", F.lit("] "), F.coalesce(F.nullif("heading", F.lit("")), F.nullif("section", F.lit("")), F.lit("")), F.lit("\n"), strip("text"))
-    rows = labelled.select(*keys, "batch", F.struct(F.substring("label", 2, 3).cast("int").alias("n"), part.alias("part")).alias("p"))
+    rows = labelled.select(*keys, "batch", F.struct(F.substring("label", 2, 18).cast("bigint").alias("n"), part.alias("part")).alias("p"))
     return rows.groupBy(*keys, "batch").agg(
         F.count("*").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "\n\n").alias("passages"))
 
@@ -195,8 +195,10 @@ def card_discards(items: DataFrame, keys: tuple[str, ...] = ("set_id",)) -> Data
     return rows.withColumn("discard", F.when(repeated, "repeated front").otherwise(F.col("__bad"))).drop("__bad", "__first")
 
 
-def dedupe_cards(items: DataFrame, count: int, keys: tuple[str, ...] = ("set_id",)) -> DataFrame:
-    return take_wanted(card_discards(items, keys).filter(F.col("discard").isNull()), count, keys)
+def dedupe_cards(items: DataFrame, count: int | None, keys: tuple[str, ...] = ("set_id",)) -> DataFrame:
+    """Good cards in order, at most `count` a set; None means all."""
+    good = card_discards(items, keys).filter(F.col("discard").isNull())
+    return good if count is None else take_wanted(good, count, keys)
 
 
 def least_used(pool: DataFrame, cards: DataFrame, size: int = BATCH, keys: tuple[str, ...] = ("set_id",)) -> DataFrame:

@@ -21,17 +21,19 @@ class Evaluation:
     ranked: DataFrame
     metrics: DataFrame
     averages: DataFrame
+    failed: dict[str, str]
 
     def compare(self, baseline: str, **options) -> DataFrame:
         return compare_strategies(self.metrics, baseline, **options)
 
 
 def ranked_by_strategy(queries: DataFrame, index: Index, strategies: Sequence[str] = STRATEGIES, k: int = 10, *,
-                       depth: int = 50, candidates: int = 25, scorer=None, stem: bool = True) -> DataFrame:
+                       depth: int = 50, candidates: int = 25, scorer=None, stem: bool = True, failed: dict[str, str] | None = None) -> DataFrame:
     """All strategies' rankings side by side.
 
     Each half is searched once, at the depth of the widest user, and written out; every
-    strategy then reads the part it needs.
+    strategy then reads the part it needs. With a dict `failed`, each strategy is run by itself: one that fails
+    is noted there and left out, the others stay.
     """
     unknown = set(strategies) - set(STRATEGIES)
     if unknown:
@@ -53,18 +55,34 @@ def ranked_by_strategy(queries: DataFrame, index: Index, strategies: Sequence[st
         if name in ("dense", "bm25"):
             part = halves["dense" if name == "dense" else "sparse"].filter(F.col("rank") <= k)
         elif name == "hybrid_rerank" and scorer is not None:
-            part = rerank(queries, fused, index.chunks, scorer, k)
+            try:
+                part = rerank(queries, fused, index.chunks, scorer, k)
+            except Exception as problem:  # noqa: BLE001
+                if failed is None:
+                    raise
+                failed[name] = str(problem)[:4000]
+                continue
         else:
             part = fused.filter(F.col("rank") <= k)
         part = part.select(*key).withColumn("strategy", F.lit(name))
+        if failed is not None:
+            try:
+                part = cut(part)
+            except Exception as problem:  # noqa: BLE001
+                failed[name] = str(problem)[:4000]
+                continue
         result = part if result is None else result.unionByName(part)
     return result
 
 
 def evaluate(queries: DataFrame, qrels: DataFrame, index: Index, strategies: Sequence[str] = STRATEGIES, k: int = 10,
              k_values: Sequence[int] = K_VALUES, failures: DataFrame | None = None, **options) -> Evaluation:
-    """Runs every strategy over the gold queries and measures it."""
+    """Runs every strategy over the gold queries and measures it; strategies that fail are listed in `failed` and not measured."""
     refuse_if_all_stale(qrels, index.chunks)
-    ranked = ranked_by_strategy(queries, index, strategies, k, **options)
-    metrics = cut(query_metrics(ranked, qrels, runs_of(qrels, strategies, failures), k_values))
-    return Evaluation(ranked, metrics, macro_average(metrics))
+    failed: dict[str, str] = {}
+    ranked = ranked_by_strategy(queries, index, strategies, k, failed=failed, **options)
+    if ranked is None:
+        raise ValueError(f"every strategy failed: {failed}")
+    ran = [s for s in strategies if s not in failed]
+    metrics = cut(query_metrics(ranked, qrels, runs_of(qrels, ran, failures), k_values))
+    return Evaluation(ranked, metrics, macro_average(metrics), failed)

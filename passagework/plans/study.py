@@ -79,20 +79,22 @@ def make_cards(chunks: DataFrame, responder: hooks.Responder, count: int = 20, u
     return Made(kept, sd.item_yield(judged.unionByName(failed, allowMissingColumns=True), asked))
 
 
-def grade_attempts(questions: DataFrame, attempts: DataFrame, responses: DataFrame, chunks: DataFrame, responder: hooks.Responder) -> tuple[DataFrame, DataFrame]:
+def grade_attempts(questions: DataFrame, attempts: DataFrame, responses: DataFrame, chunks: DataFrame, responder: hooks.Responder,
+                   source_chars: int = 1500) -> tuple[DataFrame, DataFrame]:
     """Every question of every attempt marked, and each attempt's score.
 
     Written answers go to the marker in batches of eight. A batch is known by its attempt and
-    number, so a marker's reply is read back to the answers it was about.
+    number, so a marker's reply is read back to the answers it was about. The marker sees the first `source_chars`
+    characters of a source.
     """
     rows = cut(gr.grade_join(questions, attempts, responses, chunks))
     objective = gr.grade_objective(rows.filter("type <> 'short_answer'"))
     written = rows.filter("type = 'short_answer'")
     numbered = cut(with_position(written, ["attempt_id"], "position", "__p").withColumn("batch", F.floor(F.col("__p") / gr.BATCH).cast("int")).drop("__p"))
-    said = F.coalesce(F.nullif(F.trim(F.coalesce("response", F.lit(""))), F.lit("")), F.lit("(no answer given)"))
+    said = F.coalesce(F.nullif(F.trim(F.coalesce("response", F.lit(""))), F.lit("")), F.lit("[blank]"))
     block = F.concat(
-        F.lit("---\nid: "), F.col("question_id").cast("string"), F.lit("\nQuestion: "), "prompt", F.lit("\nModel answer: "), "correct_answer",
-        F.lit("\nSource passage: "), F.substring("source_text", 1, 1500), F.lit("\nStudent answer: "), said)
+        F.lit("id: "), F.col("question_id").cast("string"), F.lit("\n  asked: "), "prompt", F.lit("\n  expected: "), "correct_answer",
+        F.lit("\n  from: "), F.left("source_text", F.lit(source_chars)), F.lit("\n  given: "), said, F.lit("\n"))
     prompts = numbered.groupBy("attempt_id", "batch").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", block.alias("block")))), lambda b: b["block"]), "\n").alias("prompt"))
     replies = hooks.respond(prompts, responder).select("attempt_id", "batch", F.coalesce("response", F.lit("")).alias("response"))

@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-ROW_GROUP = 8 << 20
 
 
 def build_session(app: str = "passagework", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,7 +32,7 @@ def build_session(app: str = "passagework", master: str | None = None, **conf: s
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh path below the folder the cluster shares (`spark.checkpoint.dir`).
+    """A fresh path below the folder the cluster shares (`spark.checkpoint.dir`), removed when the application ends.
 
     Only a local master may fall back to this machine's temporary folder.
     """
@@ -43,7 +42,12 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(CHECKPOINT_KEY, root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -60,13 +64,3 @@ def cut(df: DataFrame) -> DataFrame:
 def within(df: DataFrame, rows: int) -> bool:
     """Whether a frame has at most `rows` rows; reads no more than it must to tell."""
     return df.limit(rows + 1).count() <= rows
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Gives an input of a few large splits to every core; leaves larger inputs as they are.
-
-    A small file is one split, hence one task. On a cluster the input has more splits than
-    cores and nothing is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

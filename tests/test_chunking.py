@@ -1,13 +1,15 @@
 """The chunkers against a plain reading of their rules, one document at a time."""
 
+import os
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from passagework.functions.sequence import carried, exact_percentiles, upper_median, with_position
 from passagework.operators import chunking as ch
-from passagework.sources.chunks import merge_into, save_chunks, upsert_summary
+from passagework.sources.chunks import cached_embed, delete_from, load_chunks, merge_into, save_chunks, upsert_summary
 from passagework.session import work_dir
 
 SCHEMA = "document_id string, order int, type string, level int, page int, slide int, source string, text string"
@@ -129,10 +131,37 @@ def test_merge_into_touches_only_its_documents(spark):
     one = spark.createDataFrame([(f"d{i}", f"c{i}-{j}", j) for i in range(30) for j in range(5)], "document_id string, chunk_id string, chunk_index int")
     save_chunks(one, path, 8)
     new = spark.createDataFrame([("d3", "c3-1", 0), ("d3", "new", 1), ("d99", "first", 0)], one.schema)
-    merge_into(spark, path, new, 8)
+    merge_into(spark, path, new)
     after = spark.read.parquet(path)
     assert after.filter("document_id = 'd3'").count() == 2 and after.filter("document_id = 'd99'").count() == 1
     assert after.count() == 29 * 5 + 3
+    merge_into(spark, path, new.limit(0), spark.createDataFrame([("d4",), ("d5",), ("unheard",)], "document_id string"))
+    assert load_chunks(spark, path).count() == 27 * 5 + 3
+
+
+def test_a_bucket_left_empty_goes(spark):
+    path = work_dir(spark)
+    rows = spark.createDataFrame([(f"d{i}", "u", f"c{i}", 0) for i in range(12)], "document_id string, user_id string, chunk_id string, chunk_index int")
+    save_chunks(rows, path, 64)
+    assert delete_from(spark, path, rows.filter("document_id in ('d1', 'd2')"), rows.filter("document_id = 'd2'")) == 1
+    assert {r[0] for r in load_chunks(spark, path).select("document_id").collect()} == {f"d{i}" for i in range(12)} - {"d1"}
+
+
+def test_each_missing_text_is_embedded_once(spark):
+    log = work_dir(spark)
+    os.makedirs(log, exist_ok=True)
+
+    def embed(texts):
+        with open(f"{log}/{uuid.uuid4()}", "w") as f:
+            f.write("\n".join(texts))
+        return [[float(len(x)), uuid.uuid4().int % 97] for x in texts]
+
+    rows = spark.createDataFrame([(k, f"text {k % 5}") for k in range(20)], "chunk_id int, text string").repartition(4)
+    cache = spark.createDataFrame([], "model_key string, content_hash string, dimensions int, vector array<double>")
+    made, fresh, counts = cached_embed(rows, cache, embed, "m")
+    vectors = {r.text: tuple(r.vector) for r in made.collect()}
+    assert {tuple(r.vector) for r in fresh.collect()} == set(vectors.values()) and tuple(counts.first()) == (0, 5)
+    assert sorted(line for f in os.listdir(log) for line in open(f"{log}/{f}").read().split("\n")) == sorted(vectors)
 
 
 def test_sequences_with_one_huge_group(spark):

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from passagework import catalog
 
 
 @pytest.fixture(scope="module")
@@ -11,9 +12,11 @@ def con(sf):
     return compare.connect(sf)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_matches_sql(spark, con, sf, name):
     ok, note = compare.run(spark, con, sf, name)
+    if ok is None:
+        pytest.skip(note)
     assert ok, note
 
 

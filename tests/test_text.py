@@ -51,7 +51,10 @@ def test_ids(spark):
     assert value(spark, t.chunk_id(F.lit("doc"), F.lit("some  text"))) == str(want)
     assert value(spark, t.as_uuid(F.lit("run 7"))) == str(uuid.uuid5(uuid.UUID(t.CORRELATION_NAMESPACE), "run 7"))
     assert value(spark, t.as_uuid(F.lit("6F2A1C94-3b7d-4e51-9a08-52d1f7c0e3b6"))) == "6f2a1c94-3b7d-4e51-9a08-52d1f7c0e3b6"
+    for said in ("6f2a1c943b7d4e519a0852d1f7c0e3b6", "{6F2A1C94-3b7d-4e51-9a08-52d1f7c0e3b6}", "urn:uuid:6f2a1c94-3b7d-4e51-9a08-52d1f7c0e3b6"):
+        assert value(spark, t.as_uuid(F.lit(said))) == str(uuid.UUID(said))
     assert value(spark, t.as_uuid(F.lit(""))) is None
+    assert value(spark, t.tidy(F.lit("a-\nb-\nc"))) == "ab-\nc"
 
 
 @pytest.mark.parametrize("raw,want", [("NOT_SUPPORTED", True), ('"Not_Supported."', True), ("`NOT_SUPPORTED` because", True), ("It is supported", False)])
