@@ -163,7 +163,13 @@ def pick_fresh(spark, sf):
     return sm.pick_fresh(pool, 4, pool.filter("chunk_index < 3")).select("document_id", "chunk_index")
 
 
-@check("spread_by_document")
+@check("spread_by_document", f"""WITH RECURSIVE {WINDOWS},
+    d AS (SELECT source, doc_id, count(*) AS n FROM (SELECT doc_id FROM windows) JOIN documents USING (doc_id) GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n, doc_id) AS k, count(*) OVER (PARTITION BY source) AS m FROM d),
+    f AS (SELECT DISTINCT source, -1::BIGINT AS doc_id, 0::BIGINT AS n, 0::BIGINT AS k, 0::BIGINT AS share, 40::BIGINT AS owed FROM d
+          UNION ALL SELECT o.source, o.doc_id, o.n, o.k, greatest(1, owed // (m - o.k + 1)), owed - least(o.n, greatest(1, owed // (m - o.k + 1))) FROM f JOIN o ON o.source = f.source AND o.k = f.k + 1 WHERE owed > 0),
+    places AS (SELECT source, doc_id, CASE WHEN n <= share THEN g.s ELSE floor(g.s * (n / share::DOUBLE))::BIGINT END AS i FROM f, range(40) g(s) WHERE k > 0 AND g.s < least(n, share))
+    SELECT source AS user_id, doc_id AS document_id, i AS chunk_index FROM places""")
 def spread_by_document(spark, sf):
     return sm.spread_by_document(_windows(spark, sf), 40).select("user_id", "document_id", "chunk_index")
 

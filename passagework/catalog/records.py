@@ -149,19 +149,42 @@ def expired_sessions(spark, sf):
     return lc.expired_sessions(*_sessions(spark, sf), at(WHEN), None).select("session_id")
 
 
-@check("purge_cascade", f"""WITH {SESSIONS}
+@check("purge_cascade", f"""WITH {SESSIONS}, lost AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM over))
     SELECT 'sessions' AS name, count(*) AS kept FROM sessions WHERE session_id NOT IN (FROM over)
     UNION ALL SELECT 'documents', count(*) FROM orders WHERE o_custkey NOT IN (FROM over)
-    UNION ALL SELECT 'chunks', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM over))
+    UNION ALL SELECT 'chunks', count(*) FROM lineitem WHERE l_orderkey NOT IN (FROM lost)
+    UNION ALL SELECT 'tokens', count(*) FROM orders WHERE o_custkey NOT IN (FROM over)
+    UNION ALL SELECT 'chat_sessions', count(*) FROM orders WHERE o_custkey NOT IN (FROM over)
+    UNION ALL SELECT 'messages', count(*) FROM lineitem WHERE l_orderkey NOT IN (FROM lost)
+    UNION ALL SELECT 'message_sources', count(*) FROM lineitem WHERE l_orderkey NOT IN (FROM lost) AND l_partkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IN (FROM lost))
+    UNION ALL SELECT 'tests', count(*) FROM customer WHERE c_custkey NOT IN (FROM over)
+    UNION ALL SELECT 'questions', count(*) FROM orders WHERE o_custkey NOT IN (FROM over)
+    UNION ALL SELECT 'questions with a source', count(*) FROM orders WHERE o_custkey NOT IN (FROM over) AND o_orderkey % 1000 NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IN (FROM lost))
+    UNION ALL SELECT 'attempts', count(*) FROM orders WHERE o_custkey NOT IN (FROM over)
+    UNION ALL SELECT 'answers', count(*) FROM lineitem WHERE l_orderkey NOT IN (FROM lost)
+    UNION ALL SELECT 'card_sets', count(*) FROM customer WHERE c_custkey NOT IN (FROM over)
+    UNION ALL SELECT 'cards', count(*) FROM orders WHERE o_custkey NOT IN (FROM over)
+    UNION ALL SELECT 'traces', count(*) FROM events WHERE user_id % 25 NOT IN (SELECT user_id FROM sessions EXCEPT SELECT user_id FROM sessions WHERE session_id NOT IN (FROM over))
     UNION ALL SELECT 'users', count(*) FROM nation WHERE n_nationkey NOT IN (SELECT user_id FROM sessions EXCEPT SELECT user_id FROM sessions WHERE session_id NOT IN (FROM over))""")
 def purge_cascade(spark, sf):
     sessions, tokens = _sessions(spark, sf)
+    items, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     tables = {
         "sessions": sessions, "users": table(spark, sf, "nation").select(F.col("n_nationkey").alias("user_id")),
         "documents": table(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("session_id")),
-        "chunks": table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_index")),
+        "chunks": items.select(F.col("l_orderkey").alias("document_id"), F.col("l_orderkey").alias("chunk_id")),
+        "tokens": tokens, "chat_sessions": orders.select(F.col("o_orderkey").alias("chat_id"), F.col("o_custkey").alias("session_id")),
+        "messages": items.select(F.col("l_orderkey").alias("chat_id"), F.col("l_orderkey").alias("message_id")),
+        "message_sources": items.select(F.col("l_orderkey").alias("message_id"), F.col("l_partkey").alias("chunk_id")),
+        "tests": sessions.select(F.col("session_id").alias("test_id"), "session_id"), "card_sets": sessions.select(F.col("session_id").alias("set_id"), "session_id"),
+        "questions": orders.select(F.col("o_custkey").alias("test_id"), (F.col("o_orderkey") % 1000).alias("source_chunk_id")),
+        "attempts": orders.select(F.col("o_custkey").alias("test_id"), F.col("o_orderkey").alias("attempt_id")),
+        "answers": items.select(F.col("l_orderkey").alias("attempt_id"), F.col("l_linenumber").alias("question_id")),
+        "cards": orders.select(F.col("o_custkey").alias("set_id"), F.col("o_orderkey").alias("source_chunk_id")),
+        "traces": table(spark, sf, "events").select((F.col("user_id") % 25).alias("user_id")),
     }
     kept = lc.purge_cascade(lc.expired_sessions(sessions, tokens, at(WHEN), None), tables)
+    kept["questions with a source"] = kept["questions"].filter("source_chunk_id is not null")
     counts = [df.agg(F.count("*").alias("kept")).select(F.lit(name).alias("name"), "kept") for name, df in kept.items()]
     out = counts[0]
     for c in counts[1:]:

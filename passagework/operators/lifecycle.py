@@ -78,9 +78,9 @@ def expired_sessions(sessions: DataFrame, tokens: DataFrame, now: Column, limit:
 def purge_cascade(gone: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """What every table keeps once the sessions in `gone` are removed with all they own.
 
-    `tables` may hold sessions, users, documents, chunks, chat_sessions, messages,
-    message_sources, tests, questions, attempts, answers, card_sets, cards. An owner goes too
-    when none of their sessions remain.
+    `tables` may hold sessions, tokens, users, traces, documents, chunks, chat_sessions, messages,
+    message_sources, tests, questions, attempts, answers, card_sets, cards. An owner goes too when none of their sessions
+    remain, and their traces with them. Questions and cards that stay lose a source that went; citations of it go.
     """
     kept = dict(tables)
     ended = gone.select("session_id").distinct()
@@ -95,9 +95,14 @@ def purge_cascade(gone: DataFrame, tables: dict[str, DataFrame]) -> dict[str, Da
         return tables[name].join(parents.select(key).distinct(), key, "left_semi").select(id_)
 
     documents = lost("documents", "session_id", ended, "document_id")
-    for name in ("sessions", "documents", "chat_sessions", "tests", "card_sets"):
+    for name in ("sessions", "tokens", "documents", "chat_sessions", "tests", "card_sets"):
         drop(name, "session_id", ended)
     drop("chunks", "document_id", documents)
+    chunks = tables.get("chunks")
+    removed = None
+    if chunks is not None and "chunk_id" in chunks.columns and documents is not None:
+        removed = chunks.join(documents, "document_id", "left_semi").select("chunk_id").distinct()
+        drop("message_sources", "chunk_id", removed)
     chats = lost("chat_sessions", "session_id", ended, "chat_id")
     messages = lost("messages", "chat_id", chats, "message_id")
     drop("messages", "chat_id", chats)
@@ -108,9 +113,16 @@ def purge_cascade(gone: DataFrame, tables: dict[str, DataFrame]) -> dict[str, Da
     drop("attempts", "test_id", tests)
     drop("answers", "attempt_id", attempts)
     drop("cards", "set_id", lost("card_sets", "session_id", ended, "set_id"))
+    if removed is not None:
+        orphans = removed.select(F.col("chunk_id").alias("source_chunk_id"), F.lit(True).alias("__gone"))
+        for name in ("questions", "cards"):
+            if name in kept:
+                rows = kept[name].join(orphans, "source_chunk_id", "left")
+                kept[name] = rows.withColumn("source_chunk_id", F.when(F.col("__gone").isNull(), F.col("source_chunk_id"))).select(*tables[name].columns)
     if "users" in kept and "sessions" in kept:
         emptied = tables["sessions"].select("user_id").distinct().join(kept["sessions"].select("user_id").distinct(), "user_id", "left_anti")
         drop("users", "user_id", emptied)
+        drop("traces", "user_id", emptied)
     return kept
 
 
