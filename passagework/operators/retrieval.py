@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework.functions import sparse
-from passagework.session import within
+from passagework.session import cut
 
-# Query vectors sent to every task at once: 2,048 rows of 3,072 doubles are 50 MB.
-BROADCAST_QUERIES = 2048
-# Rows of one side in a cell of the grid used for more queries than that.
-CELL_ROWS = 20_000
+# Bytes of questions that are sent to every task at once.
+QUERY_BYTES = 64 << 20
+# Questions and chunks of one matrix product: 16 MB of scores.
+TILE = (512, 4096)
 # Scores are compared after rounding, so that ranks do not depend on summation order.
 DIGITS = 9
 SCOPE = ("user_id", "document_ids")
@@ -100,18 +100,8 @@ def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     return rows / np.where(size > 0, size, 1.0)
 
 
-def _best(questions: pa.Table, batch: pa.Table, k: int) -> pa.Table:
-    """Best k chunks of one batch for each question: scores as a matrix product, no pair rows."""
-    empty = pa.table({"query_id": questions["query_id"].slice(0, 0), "chunk_id": batch["chunk_id"].slice(0, 0),
-                      "chunk_index": batch["chunk_index"].slice(0, 0), "score": pa.array([], pa.float64())})
-    if not len(batch) or not len(questions):
-        return empty
-    batch = batch.take(pc.sort_indices(batch, [("chunk_index", "ascending"), ("chunk_id", "ascending")]))
-    q, c = _unit_rows(questions["vector"]), _unit_rows(batch["vector"])
-    if q.shape[1] != c.shape[1]:
-        raise ValueError(f"query vectors have width {q.shape[1]}, the index has {c.shape[1]}")
-    scores = np.round(q @ c.T, DIGITS)
-    allowed = np.ones(scores.shape, dtype=bool)
+def _allowed(questions: pa.Table, batch: pa.Table) -> np.ndarray:
+    allowed = np.ones((len(questions), len(batch)), dtype=bool)
     if "user_id" in questions.column_names and "user_id" in batch.column_names:
         owners = batch["user_id"].to_numpy(zero_copy_only=False)
         allowed &= questions["user_id"].to_numpy(zero_copy_only=False)[:, None] == owners[None, :]
@@ -120,30 +110,53 @@ def _best(questions: pa.Table, batch: pa.Table, k: int) -> pa.Table:
         for i, ids in enumerate(questions["document_ids"].to_pylist()):
             if ids is not None:
                 allowed[i] &= np.isin(documents, ids)
-    scores = np.where(allowed, scores, -np.inf)
-    # The batch is in tie-break order and the sort is stable, so ties fall as in `top_k`.
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(questions)), order.shape[1])
-    cols = order.ravel()
-    found = scores[rows, cols]
-    keep = np.isfinite(found)
-    rows, cols = pa.array(rows[keep]), pa.array(cols[keep])
-    return pa.table({
-        "query_id": questions["query_id"].take(rows), "chunk_id": batch["chunk_id"].take(cols),
-        "chunk_index": batch["chunk_index"].take(cols), "score": pa.array(found[keep]),
-    })
-
-
-def _keep_best(table: pa.Table, k: int) -> pa.Table:
-    if not len(table):
-        return table
-    order = pc.sort_indices(table, [("query_id", "ascending"), ("score", "descending"),
-                                            ("chunk_index", "ascending"), ("chunk_id", "ascending")])
-    table = table.take(order)
-    first = table["query_id"].to_numpy(zero_copy_only=False)
-    starts = np.concatenate([[True], first[1:] != first[:-1]])
-    position = np.arange(len(first)) - np.maximum.accumulate(np.where(starts, np.arange(len(first)), 0))
-    return table.filter(pa.array(position < k))
+    return allowed
+
+
+class _Best:
+    """The best k chunks of each question so far. Scores come in tiles; what cannot reach the list is never a row."""
+
+    def __init__(self, questions: pa.Table, k: int):
+        self.questions, self.k = questions, k
+        self.unit = _unit_rows(questions["vector"]) if len(questions) else np.zeros((0, 0))
+        self.floor = np.full(len(questions), -np.inf)
+        self.table: pa.Table | None = None
+
+    def add(self, batch: pa.Table) -> None:
+        chunks = _unit_rows(batch["vector"])
+        if self.unit.shape[1] != chunks.shape[1]:
+            raise ValueError(f"query vectors have width {self.unit.shape[1]}, the index has {chunks.shape[1]}")
+        asked, held = [], []
+        for start in range(0, len(self.questions), TILE[0]):
+            part = slice(start, start + TILE[0])
+            scores = np.round(self.unit[part] @ chunks.T, DIGITS)
+            scores[~_allowed(self.questions.slice(start, TILE[0]), batch)] = -np.inf
+            # Ties with the last place stay: position and id decide among them.
+            least = self.floor[part]
+            if scores.shape[1] > self.k:
+                least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+            rows, cols = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+            asked.append(rows + start)
+            held.append((cols, scores[rows, cols]))
+        cols, found = (np.concatenate(x) for x in zip(*held, strict=True))
+        new = pa.table({"question": np.concatenate(asked), "chunk_id": batch["chunk_id"].take(pa.array(cols)),
+                        "chunk_index": batch["chunk_index"].take(pa.array(cols)), "score": found})
+        self._keep(pa.concat_tables([self.table, new]) if self.table is not None else new)
+
+    def _keep(self, rows: pa.Table) -> None:
+        order = [("question", "ascending"), ("score", "descending"), ("chunk_index", "ascending"), ("chunk_id", "ascending")]
+        rows = rows.take(pc.sort_indices(rows, order))
+        question = rows["question"].to_numpy()
+        starts = np.concatenate([[True], question[1:] != question[:-1]])[:len(question)]
+        place = np.arange(len(question)) - np.maximum.accumulate(np.where(starts, np.arange(len(question)), 0))
+        last = place == self.k - 1
+        self.floor[question[last]] = rows["score"].to_numpy()[last]
+        self.table = rows.filter(pa.array(place < self.k))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.table is not None:
+            ids = self.questions["query_id"].combine_chunks().take(self.table["question"].combine_chunks())
+            yield from self.table.set_column(0, "query_id", ids).to_batches()
 
 
 def _out_schema(queries: DataFrame, dense: DataFrame) -> T.StructType:
@@ -155,65 +168,43 @@ def _out_schema(queries: DataFrame, dense: DataFrame) -> T.StructType:
     ])
 
 
-def dense_search(queries: DataFrame, dense: DataFrame, k: int = 50,
-                 broadcast_queries: int = BROADCAST_QUERIES, cell_rows: int = CELL_ROWS) -> DataFrame:
+def dense_search(queries: DataFrame, dense: DataFrame, k: int = 50, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """Exact cosine top-k inside each query's scope.
 
-    A query table of checked size goes to every task; each task scores its own chunk batches
-    with a matrix product and passes on k rows per query, so no chunk vector is shuffled.
-    A larger query table is met on a grid of bounded, hashed cells instead.
+    Questions go to every task in blocks of at most about `query_bytes`, whatever their number, width and scopes; each task
+    scores its own chunks in tiles and passes on k rows per question, so no chunk vector is shuffled and a task holds one
+    block, one tile and its lists. Where one block does not hold all questions, blocks are run one after another and their
+    results written out, so neither the driver nor a task ever holds more than one.
     """
     scope = [c for c in SCOPE if c in queries.columns]
     asked = queries.select("query_id", "vector", *scope)
     place = [c for c in ("chunk_id", "chunk_index", "document_id", "user_id") if c in dense.columns]
     corpus = dense.select(*place, "vector")
     schema = _out_schema(queries, dense)
-    if within(asked.select("query_id"), broadcast_queries):
-        questions = asked.toArrow()
-        sent = dense.sparkSession.sparkContext.broadcast(questions)
+    listed = F.max(F.size("document_ids")) if "document_ids" in scope else F.lit(0)
+    n, width, ids = asked.agg(F.count("*"), F.max(F.size("vector")), listed).first()
+    blocks = max(1, -(-n * (8 * (width or 0) + 48 * max(ids or 0, 0) + 128) // query_bytes))
 
+    def scorer(sent):
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: pa.Table | None = None
+            best = _Best(sent.value, k)
             for batch in batches:
-                if batch.num_rows:
-                    new = _best(sent.value, pa.Table.from_batches([batch]), k)
-                    best = _keep_best(pa.concat_tables([best, new]) if best is not None else new, k)
-            if best is not None:
-                yield from best.to_batches()
-
-        return top_k(corpus.mapInArrow(score, schema), k)
-    return top_k(_grid(asked, corpus, schema, k, cell_rows), k)
-
-
-def _grid(asked: DataFrame, corpus: DataFrame, schema: T.StructType, k: int, rows: int) -> DataFrame:
-    """Both sides hashed into cells of about `rows` rows per owner; every pair of cells meets once."""
-    owned = "user_id" in asked.columns and "user_id" in corpus.columns
-    owner = F.col("user_id") if owned else F.lit(0)
-    asked, corpus = asked.withColumn("__o", owner), corpus.withColumn("__o", owner)
-
-    def cells(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("__o").agg(F.ceil(F.count("*") / rows).alias(name))
-
-    plan = cells(asked, "__nq").join(cells(corpus, "__nc"), "__o")
-    left = (
-        asked.join(plan, "__o")
-        .withColumn("__q", F.pmod(F.xxhash64("query_id"), F.col("__nq")))
-        .withColumn("__c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__nc") - 1)))
-    )
-    right = (
-        corpus.join(plan, "__o")
-        .withColumn("__c", F.pmod(F.xxhash64("chunk_id"), F.col("__nc")))
-        .withColumn("__q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__nq") - 1)))
-    )
-    key = ["__o", "__q", "__c"]
-    # Both sides may come from one table: new names keep their columns apart.
-    left = left.toDF(*[f"q_{c}" for c in left.columns])
-    right = right.toDF(*[f"c_{c}" for c in right.columns])
-
-    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        return _best(*(side.rename_columns([c[2:] for c in side.column_names]) for side in (a, b)), k)
-
-    return left.groupBy(*[f"q_{c}" for c in key]).cogroup(right.groupBy(*[f"c_{c}" for c in key])).applyInArrow(cell, schema)
+                for start in range(0, batch.num_rows, TILE[1]):
+                    if len(sent.value):
+                        best.add(pa.Table.from_batches([batch.slice(start, TILE[1])]))
+            yield from best.rows()
+        return score
+
+    found = None
+    for block in range(blocks):
+        mine = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        sent = dense.sparkSession.sparkContext.broadcast(mine.toArrow())
+        part = top_k(corpus.mapInArrow(scorer(sent), schema), k)
+        if blocks > 1:
+            part = cut(part)
+            sent.unpersist()
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def rrf(rankings: dict[str, DataFrame], k: int = 60, limit: int | None = 25) -> DataFrame:

@@ -59,8 +59,3 @@ def cut(df: DataFrame) -> DataFrame:
     path = work_dir(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def within(df: DataFrame, rows: int) -> bool:
-    """Whether a frame has at most `rows` rows; reads no more than it must to tell."""
-    return df.limit(rows + 1).count() <= rows

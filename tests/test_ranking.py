@@ -42,7 +42,7 @@ def brute(vectors, questions, k):
 
 def test_dense_search_both_ways(vectors, questions):
     want = brute(vectors, questions, 5)
-    for options in ({}, {"broadcast_queries": 3, "cell_rows": 40}):
+    for options in ({}, {"query_bytes": 2_000}):
         got = r.dense_search(questions, vectors, 5, **options)
         assert {(x.query_id, x.chunk_id, x.rank) for x in got.collect()} == want
 
