@@ -67,11 +67,7 @@ def heading_levels(spark, sf):
 def merge_paragraphs(spark, sf):
     lines = set_lines(spark, sf).withColumn("level", F.when(F.length("text") < 15, 2))
     b = sx.merge_paragraphs(lines)
-    ends = b.select("document_id", F.col("order").cast("bigint").alias("line"), "level", "page", F.sha2("text", 256).alias("text_hash"), "x0", "x1", "y0", "y1")
-    # Lines per block, read off where the next block begins.
-    starts = lines.select("document_id", "order").join(b.select("document_id", F.col("order").alias("block")), ["document_id"]).filter("block <= order")
-    sizes = starts.groupBy("document_id", "order").agg(F.max("block").alias("block")).groupBy("document_id", F.col("block").cast("bigint").alias("line")).agg(F.count("*").alias("n_lines"))
-    return ends.join(sizes, ["document_id", "line"])
+    return b.select("document_id", F.col("order").cast("bigint").alias("line"), "level", "page", F.sha2("text", 256).alias("text_hash"), "x0", "x1", "y0", "y1", "n_lines")
 
 
 @check("reading_order", f"""WITH {SET}, {RULED}, u AS (SELECT document_id, page, y0, x0, 'line' AS kind, text FROM lines UNION ALL SELECT document_id, page, y0, x0, 'table', text FROM tables)
@@ -170,10 +166,10 @@ def fan_out_readings(spark, sf):
     return im.fan_out_readings(p, known).select("document_id", F.col("order").alias("ord"), "type", "level", "text")
 
 
-@check("image_context", r"""WITH b AS (SELECT user_id AS document_id, day(ts) AS slide, substr(string_agg(event_type || ' ' || regexp_extract(props, '\d+'), ' ' ORDER BY event_id), 1, 400) AS context_hint FROM events WHERE event_type <> 'view' GROUP BY ALL)
+@check("image_context", r"""WITH b AS (SELECT user_id AS document_id, day(ts) AS slide, substr(string_agg(event_type || ' ' || regexp_extract(props, '\d+'), ' ' ORDER BY event_id), 1, 400) AS context_hint FROM events GROUP BY ALL)
     SELECT user_id AS document_id, event_id AS ord, coalesce(context_hint, '') AS context_hint FROM events e LEFT JOIN b ON b.document_id = e.user_id AND b.slide = day(e.ts)""")
 def image_context(spark, sf):
-    e = table(spark, sf, "events").filter("event_type <> 'view'")
+    e = table(spark, sf, "events")
     blocks = e.select(F.col("user_id").alias("document_id"), F.dayofmonth("ts").alias("slide"), F.col("event_id").alias("order"), F.concat("event_type", F.lit(" "), F.get_json_object("props", "$.k")).alias("text"))
     return im.image_context(pictures(spark, sf), blocks).select("document_id", F.col("order").alias("ord"), "context_hint")
 

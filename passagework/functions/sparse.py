@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from passagework.functions.stemming import stem_all
+from passagework.functions.stemming import stem_all, stem_word
 from passagework.functions.text import col
 
 # Words that carry no retrieval signal.
@@ -22,6 +24,7 @@ TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 K1 = 1.5
 # 32-bit FNV-1a.
 _FNV_START, _FNV_PRIME, _MASK = 2166136261, 16777619, 0xFFFFFFFF
+_PATTERN, _STOP = re.compile(TERM), frozenset(STOPWORDS)
 
 
 def terms(text: Column | str, stem: bool = True) -> Column:
@@ -40,6 +43,22 @@ def term_index(term: Column | str) -> Column:
     )
 
 
+def found(text: str) -> list[str]:
+    """The words of a text before stop words go, as `terms` finds them."""
+    return _PATTERN.findall(text.lower())
+
+
+def encoded(word: str, stem: bool) -> tuple[str, int] | None:
+    """A word's term and its index; None if it carries no signal. The same as `terms` and `term_index`."""
+    if len(word) < 2 or word in _STOP:
+        return None
+    term = stem_word(word) if stem else word
+    h = _FNV_START
+    for b in term.encode():
+        h = (h ^ b) * _FNV_PRIME & _MASK
+    return term, h
+
+
 def saturate(count: Column | str, k1: float = K1) -> Column:
     """Term-frequency weight; repeats count for less and less. No length term."""
     c = col(count).cast("double")

@@ -10,6 +10,7 @@ Frames
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework.functions import sparse
+from passagework.functions.text import col
 from passagework.session import cut
 
 # Bytes of questions that are sent to every task at once.
 QUERY_BYTES = 64 << 20
 # Questions and chunks of one matrix product: 16 MB of scores.
 TILE = (512, 4096)
+# Chunks whose postings leave a task together; distinct words a task remembers.
+POSTED_ROWS, KNOWN_WORDS = 500, 500_000
 # Scores are compared after rounding, so that ranks do not depend on summation order.
 DIGITS = 9
 SCOPE = ("user_id", "document_ids")
@@ -37,15 +41,40 @@ def top_k(scored: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) -> D
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _counted(stem: bool):
+    """A chunk's terms are counted where the chunk is; each distinct word of a task is stemmed and hashed once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, int] | None] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, POSTED_ROWS):
+                part = batch.slice(start, POSTED_ROWS)
+                rows, made, times = [], [], []
+                for row, text in enumerate(part.column("__text").to_pylist()):
+                    counts: dict[tuple[str, int], int] = {}
+                    for word, n in Counter(sparse.found(text)).items():
+                        if word not in known:
+                            if len(known) >= KNOWN_WORDS:
+                                known.clear()
+                            known[word] = sparse.encoded(word, stem)
+                        term = known[word]
+                        if term is not None:
+                            counts[term] = counts.get(term, 0) + n
+                    rows += [row] * len(counts)
+                    made += counts
+                    times += counts.values()
+                place = part.drop_columns(["__text"]).take(pa.array(rows, pa.int64()))
+                yield pa.record_batch(
+                    [*place.columns, pa.array([t for t, _ in made], pa.string()), pa.array(times, pa.int64()), pa.array([i for _, i in made], pa.int64())],
+                    names=[*place.schema.names, "term", "tf", "term_idx"])
+    return run
+
+
 def postings(chunks: DataFrame, text: Column | str = "text", stem: bool = True) -> DataFrame:
-    """One row per chunk and term, with the saturated term weight."""
+    """One row per chunk and term, with the saturated term weight. Nothing is shuffled."""
     place = [c for c in ("chunk_id", "chunk_index", "document_id", "user_id") if c in chunks.columns]
-    counted = (
-        chunks.select(*place, F.explode(sparse.terms(text, stem)).alias("term"))
-        .groupBy(*place, "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    return counted.withColumn("term_idx", sparse.term_index("term")).withColumn("weight", sparse.saturate("tf"))
+    rows = chunks.select(*place, F.coalesce(col(text), F.lit("")).alias("__text"))
+    schema = T.StructType([*(chunks.schema[c] for c in place), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("term_idx", T.LongType())])
+    return rows.mapInArrow(_counted(stem), schema).withColumn("weight", sparse.saturate("tf"))
 
 
 def document_frequency(posted: DataFrame, chunks: DataFrame) -> DataFrame:

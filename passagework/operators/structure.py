@@ -107,7 +107,7 @@ def heading_levels(lines: DataFrame) -> DataFrame:
 def merge_paragraphs(lines: DataFrame) -> DataFrame:
     """Blocks: headings as they are, and body lines joined into paragraphs.
 
-    A paragraph ends at a page, at a heading, and at a gap wider than the document's usual one.
+    A paragraph ends at a page, at a heading, and at a gap wider than the document's usual one. `n_lines` counts its lines.
     """
     before = carried(lines, DOC, "order", last_before={"prev": F.struct("page", "y1", "font_size", F.col("level").isNotNull().alias("heading"))})
     gap = F.col("y0") - F.col("prev.y1")
@@ -123,7 +123,7 @@ def merge_paragraphs(lines: DataFrame) -> DataFrame:
     blocks = rows.groupBy("document_id", "block").agg(
         F.array_join(F.transform(here, lambda p: p["text"]), " ").alias("text"), F.min_by("level", "order").alias("level"),
         F.min_by("page", "order").alias("page"), F.min_by("font_size", "order").alias("font_size"), F.min("x0").alias("x0"),
-        F.min_by("y0", "order").alias("y0"), F.max("x1").alias("x1"), F.max_by("y1", "order").alias("y1"))
+        F.min_by("y0", "order").alias("y0"), F.max("x1").alias("x1"), F.max_by("y1", "order").alias("y1"), F.count("*").alias("n_lines"))
     kind = F.when(F.col("level").isNotNull(), "heading").otherwise("paragraph")
     text = F.when(F.col("level").isNotNull(), F.col("text")).otherwise(t.normalize("text"))
     return blocks.withColumn("text", text).filter("text <> ''").withColumn("type", kind).withColumnRenamed("block", "order").withColumn("source", F.lit("text"))

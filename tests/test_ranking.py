@@ -11,6 +11,7 @@ from passagework.operators import retrieval as r
 from passagework.operators import significance as sg
 from passagework.plans.evaluate import evaluate
 from passagework.plans.retrieve import Index, retrieve
+from passagework.functions import sparse
 from passagework.functions.vectors import hashed_embedding
 
 
@@ -138,3 +139,12 @@ def test_evaluate_small_corpus(spark):
     assert other.count() == 0  # nobody reads another owner's chunks
     with pytest.raises(ValueError, match="none of the gold"):
         evaluate(q, qrels.withColumn("chunk_id", F.lit("gone")), index)
+
+
+@pytest.mark.parametrize("stem", [True, False])
+def test_postings_are_the_terms_of_a_chunk(spark, stem):
+    texts = ["Running runs run, the runner's 3.5 B-tree b-tree!", "", None, "of the and", "état naïve İstanbul x y zz", "a" * 20_000]
+    chunks = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "chunk_id int, text string")
+    got = sorted((x.chunk_id, x.term, x.tf, x.term_idx) for x in r.postings(chunks, stem=stem).collect())
+    rows = chunks.select("chunk_id", F.explode(sparse.terms("text", stem)).alias("term")).groupBy("chunk_id", "term").count().withColumn("i", sparse.term_index("term"))
+    assert got == sorted(tuple(x) for x in rows.collect())
