@@ -197,12 +197,30 @@ def _citable(spark, sf, k=10):
     return _ranked_passages(spark, sf, k).join(named, "chunk_id")
 
 
-@check("build_context")
+# Passages in rank order, each with its duplicates before it, then the fold over ranks.
+ADMITTED = f"""{sql.SPARSE}, {sql.GRAMS}, sh AS (SELECT s.query_id, s.rank, g FROM sparse s JOIN grams ON doc_id = chunk_id WHERE s.rank <= 10),
+    z AS (SELECT query_id, rank, count(*) AS n FROM sh GROUP BY ALL),
+    dup AS (SELECT a.query_id, b.rank, list(a.rank) AS same FROM (SELECT a.query_id, a.rank, b.rank AS later, count(*) AS shared FROM sh a JOIN sh b ON a.query_id = b.query_id AND a.g = b.g AND a.rank < b.rank GROUP BY ALL) o
+            JOIN z a ON a.query_id = o.query_id AND a.rank = o.rank JOIN z b ON b.query_id = o.query_id AND b.rank = o.later WHERE shared::DOUBLE / least(a.n, b.n) >= 0.85 GROUP BY ALL),
+    p AS (SELECT s.query_id, s.rank, s.chunk_id, regexp_replace(d.text, '^\\s+|\\s+$', '', 'g') AS body, d.source || ' · slide ' || d.doc_id % 50 || ' · ' || d.lang AS location, coalesce(same, []) AS same
+          FROM sparse s JOIN documents d ON d.doc_id = s.chunk_id LEFT JOIN dup ON dup.query_id = s.query_id AND dup.rank = s.rank WHERE s.rank <= 10),
+    fold AS (SELECT DISTINCT query_id, 0::BIGINT AS rank, []::BIGINT[] AS taken, 0::BIGINT AS used, false AS fits FROM p
+             UNION ALL SELECT query_id, rank, CASE WHEN fits THEN list_append(taken, rank) ELSE taken END, used + CASE WHEN fits THEN cost ELSE 0 END, fits FROM (
+                 SELECT *, len(taken) < 8 AND body <> '' AND used + cost <= 5000 AND NOT list_has_any(taken, same) AS fits FROM (
+                     SELECT p.query_id, p.rank, f.taken, f.used, p.body, p.same, greatest(1, round_even(length('[S' || (len(f.taken) + 1) || '] ' || p.location || chr(10) || p.body) / 4.0, 0))::BIGINT AS cost
+                     FROM fold f JOIN p ON p.query_id = f.query_id AND p.rank = f.rank + 1))),
+    marked AS (SELECT p.*, CASE WHEN fits THEN len(taken) END AS marker, '[S' || len(taken) || '] ' || location || chr(10) || body AS block FROM p JOIN fold USING (query_id, rank))"""
+
+
+@check("build_context", f"""WITH RECURSIVE {ADMITTED} SELECT query_id, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY marker) FILTER (marker IS NOT NULL), '') AS context, count(marker) AS sources,
+    coalesce(sum(greatest(1, round_even(length(block) / 4.0, 0))) FILTER (marker IS NOT NULL), 0)::BIGINT AS token_count, count(*) FILTER (marker IS NULL) AS dropped FROM marked GROUP BY 1""")
 def build_context(spark, sf):
     return cx.build_context(cut(_citable(spark, sf)))[0]
 
 
-@check("context_sources")
+@check("context_sources", f"""WITH RECURSIVE {ADMITTED}, c AS (SELECT *, regexp_replace(regexp_replace(body, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS x FROM marked WHERE marker IS NOT NULL)
+    SELECT query_id, 'S' || marker AS marker, chunk_id, chunk_id AS document_id, source AS document_name, NULL AS page_number, NULL AS page_end, chunk_id % 50 AS slide_number,
+           CASE WHEN length(x) <= 320 THEN x ELSE regexp_replace(left(x, 320), ' [^ ]*$', '') || '…' END AS snippet FROM c JOIN documents ON doc_id = chunk_id""")
 def context_sources(spark, sf):
     return cx.build_context(cut(_citable(spark, sf)))[1].drop("heading_path")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passagework.catalog.chunks import BLOCKS, line_blocks
+from passagework.catalog.chunks import BLOCKS, HEADING, line_blocks
 from passagework.catalog.frames import table
 from passagework.operators import images as im
 from passagework.operators import structure as sx
@@ -52,7 +52,20 @@ def body_sizes(spark, sf):
     return sx.body_sizes(set_lines(spark, sf))
 
 
-@check("heading_levels")
+@check("heading_levels", f"""WITH RECURSIVE {SET}, w AS (SELECT document_id, round_even(font_size, 1) AS size, sum(greatest(length(trim(text)), 1)) AS weight, min(ord) AS seen FROM lines GROUP BY ALL),
+    b AS (SELECT document_id, max_by(size, (weight, -seen)) AS body_size, max(weight) AS top FROM w GROUP BY 1),
+    c AS (SELECT document_id, max(size) FILTER (size = body_size OR weight >= greatest(top * 0.3, 200))::DOUBLE AS ceiling FROM w JOIN b USING (document_id) GROUP BY 1),
+    x AS (SELECT document_id, ord, font_size::DOUBLE AS font_size, is_bold, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM lines),
+    h AS (SELECT x.*, ceiling, ceiling > 0 AND font_size >= ceiling * 1.08::DOUBLE AS larger FROM x JOIN c USING (document_id)),
+    n AS (SELECT * FROM h WHERE x <> '' AND length(x) <= 200 AND regexp_matches(x, '[\\p{{L}}\\p{{N}}]') AND (larger OR (is_bold AND {HEADING}))),
+    s AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY size DESC) AS k FROM (SELECT DISTINCT document_id, round_even(font_size, 2)::DOUBLE AS size FROM n)),
+    f AS (SELECT document_id, k, size AS lead_size, 1 AS place FROM s WHERE k = 1
+          UNION ALL SELECT s.document_id, s.k, CASE WHEN abs(lead_size - size) / greatest(lead_size, 1e-6) > 0.03 THEN size ELSE lead_size END,
+                           place + (abs(lead_size - size) / greatest(lead_size, 1e-6) > 0.03)::INT FROM f JOIN s ON s.document_id = f.document_id AND s.k = f.k + 1),
+    l AS (SELECT DISTINCT document_id, place, lead_size FROM f), m AS (SELECT document_id, max(place) AS places FROM l GROUP BY 1)
+    SELECT n.document_id, ord AS "order", CASE WHEN any_value(ceiling) > 0 AND NOT any_value(larger) THEN least(any_value(places) + 1, 6)
+           ELSE least(arg_min(place, (abs(lead_size - round_even(font_size, 2)), place)), 6) END AS level
+    FROM n JOIN l USING (document_id) JOIN m USING (document_id) GROUP BY n.document_id, ord""")
 def heading_levels(spark, sf):
     return sx.heading_levels(set_lines(spark, sf)).filter("level IS NOT NULL").select("document_id", "order", "level")
 
