@@ -22,8 +22,8 @@ LEVELS = 6
 ATOMIC = ("table", "speaker_note", "figure")
 # Fixed value: how far above the target an atomic piece or a merged chunk may go.
 OVERSIZE = 2
-# Place of a piece: block order times STEP, plus its number in the block.
-STEP = 1 << 20
+# Place of a piece: block order times STEP, plus its number in the block; both have room for 2^23 and 2^40.
+STEP = 1 << 40
 _WIDE = STEP * 64
 _OPTIONAL = {"level": "int", "page": "int", "slide": "int", "source": "string", "document_name": "string", "user_id": "string"}
 
@@ -81,28 +81,28 @@ def _finish(chunks: DataFrame) -> DataFrame:
     )
 
 
-def fixed_window_chunks(blocks: DataFrame, target_tokens: int = 512, overlap_tokens: int = 64) -> DataFrame:
+def fixed_window_chunks(blocks: DataFrame, target_tokens: int = 512, overlap_tokens: int = 64, rate_words: int = 2000) -> DataFrame:
     """Windows of words, each `overlap` longer than its step; cut points never fall inside a word.
 
     Each block cuts its own share of every window it touches, so no document is gathered:
-    what meets in one group is one window's words.
+    what meets in one group is one window's words. The first `rate_words` words of a document tell how many tokens a
+    word is; windows are cut from all of them.
     """
     if target_tokens <= 0:
         raise ValueError("target_tokens must be positive")
     if overlap_tokens >= target_tokens:
         raise ValueError("overlap_tokens must be smaller than target_tokens")
-    sample = 2000
     rows = complete(blocks)
     words = F.split("text", r"(?U)\s+")
     rows = cut(carried(rows.withColumn("n_words", F.size(words)), DOC, "order", sums_before={"first_word": F.col("n_words")}))
-    sampled = F.greatest(F.lit(0), F.least(F.col("n_words"), F.lit(sample) - F.col("first_word"))).cast("int")
+    sampled = F.greatest(F.lit(0), F.least(F.col("n_words"), F.lit(rate_words) - F.col("first_word"))).cast("int")
     chars = F.length(F.array_join(F.slice(words, F.lit(1), F.greatest(sampled, F.lit(0))), ""))
     whole = rows.groupBy("document_id").agg(
         F.sum("n_words").alias("total"),
         F.sum(F.when(sampled > 0, chars).otherwise(0)).alias("chars"),
         F.min_by("text", F.when(F.col("type") == "heading", F.col("order"))).alias("section"),
     )
-    counted = F.least(F.col("total"), F.lit(sample))
+    counted = F.least(F.col("total"), F.lit(rate_words))
     per_word = F.greatest(F.lit(1), F.bround((F.col("chars") + counted - 1) / t.CHARS_PER_TOKEN)) / counted
     whole = (
         whole.withColumn("per_word", per_word)

@@ -67,8 +67,8 @@ def live_sessions(tokens: DataFrame, now: Column) -> DataFrame:
     return usable.select("session_id").distinct()
 
 
-def expired_sessions(sessions: DataFrame, tokens: DataFrame, now: Column, limit: int | None = SWEEP) -> DataFrame:
-    """Sessions that ended, or are past the grace period and hold no usable token."""
+def expired_sessions(sessions: DataFrame, tokens: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
+    """Sessions that ended, or are past the grace period and hold no usable token: all, or the oldest `limit` (a sweep takes `SWEEP`)."""
     live = live_sessions(tokens, now).withColumn("live", F.lit(True))
     old = F.col("created_at") < now - F.expr(GRACE)
     over = sessions.join(live, "session_id", "left").filter(F.col("ended_at").isNotNull() | (old & F.col("live").isNull())).drop("live")

@@ -22,7 +22,7 @@ TABLE_OVERLAP, SCANNED_CHARS = 0.5, 60
 
 DOC = ["document_id"]
 # More rows than a page can hold: keeps the pages of a document apart in one integer.
-_PAGE = 1 << 24
+_PAGE = 1 << 32
 
 
 def table_text(rows: Column | str) -> Column:
@@ -56,7 +56,7 @@ def reading_order(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """
     both = lines.withColumn("kind", F.lit("line")).unionByName(tables.withColumn("kind", F.lit("table")), allowMissingColumns=True)
     on_page = Window.partitionBy("document_id", "page").orderBy("y0", "x0", "kind", "text")
-    placed = both.withColumn("__at", F.col("page").cast("bigint") * _PAGE + F.row_number().over(on_page))
+    placed = both.withColumn("__at", F.coalesce("page", F.lit(0)).cast("bigint") * _PAGE + F.row_number().over(on_page))
     return carried(placed, DOC, "__at", sums_before={"order": F.lit(1).cast("bigint")}, width=_PAGE).drop("__at")
 
 
