@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.operators.evaluation import K_VALUES, macro_average, query_metrics, refuse_if_all_stale, runs_of
+from passagework.operators.evaluation import K_VALUES, latency_percentiles, macro_average, query_metrics, refuse_if_all_stale, runs_of
 from passagework.operators.rerank import rerank
 from passagework.operators.retrieval import dense_search, rrf, sparse_search
 from passagework.operators.significance import compare_strategies
 from passagework.plans.retrieve import STRATEGIES, Index
 from passagework.session import cut
+from passagework.sources.reports import write_report
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,8 @@ class Evaluation:
     metrics: DataFrame
     averages: DataFrame
     failed: dict[str, str]
+    failures: DataFrame | None = None
+    latency: DataFrame | None = None
 
     def compare(self, baseline: str, **options) -> DataFrame:
         return compare_strategies(self.metrics, baseline, **options)
@@ -76,8 +79,14 @@ def ranked_by_strategy(queries: DataFrame, index: Index, strategies: Sequence[st
 
 
 def evaluate(queries: DataFrame, qrels: DataFrame, index: Index, strategies: Sequence[str] = STRATEGIES, k: int = 10,
-             k_values: Sequence[int] = K_VALUES, failures: DataFrame | None = None, **options) -> Evaluation:
-    """Runs every strategy over the gold queries and measures it; strategies that fail are listed in `failed` and not measured."""
+             k_values: Sequence[int] = K_VALUES, failures: DataFrame | None = None, latencies: DataFrame | None = None,
+             report: str | None = None, **options) -> Evaluation:
+    """Runs every strategy over the gold queries and measures it.
+
+    Strategies that fail are listed in `failed` and not measured. `failures` (query_id, strategy) are queries that failed for
+    the caller: they are left out of the means and listed. `latencies` (query_id, strategy, took_ms) give percentiles.
+    With a path `report`, everything is saved there for `reanalyse`.
+    """
     refuse_if_all_stale(qrels, index.chunks)
     failed: dict[str, str] = {}
     ranked = ranked_by_strategy(queries, index, strategies, k, failed=failed, **options)
@@ -85,4 +94,6 @@ def evaluate(queries: DataFrame, qrels: DataFrame, index: Index, strategies: Seq
         raise ValueError(f"every strategy failed: {failed}")
     ran = [s for s in strategies if s not in failed]
     metrics = cut(query_metrics(ranked, qrels, runs_of(qrels, ran, failures), k_values))
-    return Evaluation(ranked, metrics, macro_average(metrics), failed)
+    if report is not None:
+        write_report(metrics, report, failures, latencies)
+    return Evaluation(ranked, metrics, macro_average(metrics), failed, failures, None if latencies is None else latency_percentiles(latencies))
