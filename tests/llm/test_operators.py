@@ -168,8 +168,9 @@ def test_merges(spark):
     want = [whole.encode_ordinary(w) for w in words]
     assert [bpe.merged_bytes(w.encode(), ranks) for w in words] == want
     frame = spark.createDataFrame([(k, [ranks[bytes([b])] for b in w.encode()]) for k, w in enumerate(words)], "k int, b array<int>")
-    got = dict(frame.select("k", bpe.merged(F.col("b"), bpe.RankMap(ranks))).collect())
-    assert [got[k] for k in range(len(words))] == want
+    for table in (bpe.RankMap(ranks), bpe.RankMap(ranks, (w.encode() for w in words))):
+        got = dict(frame.select("k", bpe.merged(F.col("b"), table)).collect())
+        assert [got[k] for k in range(len(words))] == want
 
 
 def plain_counts(t: str) -> tuple:
