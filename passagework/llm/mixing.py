@@ -56,6 +56,31 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1
     return filled.select("source", "source_size", "place", target.alias("target"))
 
 
+def _dealt(docs: DataFrame, doc_id: str, source: str, text: str, weights: Sequence[int], share: float, cap: float) -> DataFrame:
+    """The documents without texts, each with its place in its source (`at`), the words asked of the source, taken and copies."""
+    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("bigint")
+    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(whole(text), F.lit(WORD)).cast("bigint").alias("size"), hashed.alias("hash")))
+    by_source = targets(sized, weights, share, cap)
+    ordered = cut(ranked(sized, [F.col("source").asc_nulls_last(), "hash", F.col("doc_id"), F.col("size")], {"before": F.col("size")}))
+    starts = ordered.groupBy("source").agg(F.min("before").alias("start")).withColumnRenamed("source", "s_source")
+    goals = by_source.join(starts, F.col("source").eqNullSafe(F.col("s_source"))).select("s_source", "start", "source_size", "place", "target")
+    rows = ordered.join(goals, F.col("source").eqNullSafe(F.col("s_source")))
+    asked = F.round("target").cast("bigint")
+    rounds = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("bigint")
+    rows = rows.select("*", asked.alias("asked"), rounds.alias("rounds"), (F.col("before") - F.col("start")).alias("at"))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("asked") - F.col("rounds") * F.col("source_size") - F.col("at"))).cast("bigint")
+    rows = rows.withColumn("part", part).withColumn("taken", F.col("size") * F.col("rounds") + F.col("part"))
+    copies = F.col("rounds") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    return rows.withColumn("copies", copies.cast("int"))
+
+
+def _position(turn: Column, schedules: Sequence[Sequence[tuple[float, float]]]) -> Column:
+    """When a document is due in this round of its source (0-based), in millionths of a millionth of training."""
+    kind = F.pmod("place", F.lit(len(schedules)))
+    due = (F.col("at") + turn * F.col("source_size")) / F.col("asked")
+    return F.floor(F.coalesce(*[F.when(kind == i, time_of(due, s)) for i, s in enumerate(schedules)]) * F.lit(1e12))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", *, weights: Sequence[int] = WEIGHTS,
         schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """One row per document, range-sorted by training position: doc_id, size, source_size, target, taken, copies, position.
@@ -64,40 +89,32 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     many whole rounds of the source as fit the target, then the documents up to the exact remainder, the last one in
     part; so the words taken of a source are its target, rounded. `copies` counts whole copies (the document cut by
     the remainder rounds to the nearer). `position` is the time its first copy is due, in millionths of a millionth
-    of training; null where nothing is taken.
+    of training; null where nothing is taken. Later copies follow a round of the source apart: see `mixed_documents`.
 
     Sizes are summed over a global range sort (source, hash), so a source with a third of all rows spreads over many
     tasks. Null text has size 0, null source is a source of its own and comes last, null ids share one hash (ties fall
     by size), rows that repeat an id are documents of their own. An empty table gives no rows; a source without words gets
     target 0.
     """
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("bigint")
-    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(whole(text), F.lit(WORD)).cast("bigint").alias("size"), hashed.alias("hash")))
-    by_source = targets(sized, weights, share, cap)
-    ordered = cut(ranked(sized, [F.col("source").asc_nulls_last(), "hash", F.col("doc_id"), F.col("size")], {"before": F.col("size")}))
-    starts = ordered.groupBy("source").agg(F.min("before").alias("start")).withColumnRenamed("source", "s_source")
-    goals = by_source.join(starts, F.col("source").eqNullSafe(F.col("s_source"))).select("s_source", "start", "source_size", "place", "target")
-    rows = ordered.join(goals, F.col("source").eqNullSafe(F.col("s_source")))
-    asked = F.round("target").cast("bigint")
-    rounds = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("bigint")
-    rows = rows.select("*", asked.alias("asked"), rounds.alias("rounds"), (F.col("before") - F.col("start")).alias("at"))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("asked") - F.col("rounds") * F.col("source_size") - F.col("at"))).cast("bigint")
-    rows = rows.withColumn("part", part).withColumn("taken", F.col("size") * F.col("rounds") + F.col("part"))
-    kind = F.pmod("place", F.lit(len(schedules)))
-    due = F.col("at") / F.col("asked")
-    when = F.coalesce(*[F.when(kind == i, time_of(due, s)) for i, s in enumerate(schedules)])
-    position = F.when(F.col("taken") > 0, F.floor(when * F.lit(1e12)))
-    copies = F.col("rounds") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
-    return rows.select(
-        "doc_id", "size", "source_size", "target", "taken", copies.cast("int").alias("copies"), position.alias("position"),
-    ).orderBy(F.col("position").asc_nulls_last(), F.col("doc_id"))
-
-
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """The mix as documents with all columns: each as often as `copies` says, whole; documents not taken go."""
-    wanted = mix(docs, doc_id, source, text, **options).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    # Rows that repeat an id and a size would meet each other: keep one decision for each, the larger.
-    wanted = wanted.groupBy("__id", "__size").agg(F.max("__copies").alias("__copies")).filter("__copies > 0")
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.regexp_count(whole(text), F.lit(WORD)) == F.col("__size"))
-    joined = docs.join(wanted, same)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _dealt(docs, doc_id, source, text, weights, share, cap)
+    position = F.when(F.col("taken") > 0, _position(F.lit(0), schedules))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", position.alias("position")).orderBy(
+        F.col("position").asc_nulls_last(), F.col("doc_id"))
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", *, weights: Sequence[int] = WEIGHTS,
+                    schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mix as documents with all columns, whole, each as often as `copies` says, range-sorted by the training
+    position of each copy; documents not taken go.
+
+    The copy of round r is due when its source has been asked for r whole rounds and the words before the document.
+    """
+    turns = F.sequence(F.lit(0), F.col("copies") - 1)
+    wanted = _dealt(docs, doc_id, source, text, weights, share, cap).filter("copies > 0").select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
+        F.struct("copies", F.transform(turns, lambda r: _position(r, schedules)).alias("due")).alias("__deal"))
+    # Rows that repeat an id, a source and a size would meet each other: keep one decision for each, the larger.
+    wanted = wanted.groupBy("__id", "__source", "__size").agg(F.max("__deal").alias("__deal"))
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.regexp_count(whole(text), F.lit(WORD)) == F.col("__size"))
+    copies = docs.join(wanted, same).withColumn("__due", F.explode("__deal.due"))
+    return copies.orderBy("__due", F.col(doc_id)).select(*[F.col(f"`{c}`") for c in docs.columns])
