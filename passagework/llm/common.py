@@ -29,6 +29,23 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
 
 
+def staying(docs: DataFrame, judged: DataFrame, doc_id: str, mark: Column) -> DataFrame:
+    """The documents, all columns, less those judged to go; of kept rows that repeat an id and a mark, one stays.
+
+    `judged` has rows (doc_id, mark, kept), one for each row of a group of two or more; `mark` is the documents' own.
+    Repeats are combined before they are shuffled, so a row ingested very often travels once per task.
+    """
+    judged = cut(judged.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "kept"))
+    same = mark.eqNullSafe(F.col("__mark")) & F.col(doc_id).eqNullSafe(F.col("__id"))
+    rest = docs.join(judged.filter(~F.col("kept")).drop("kept").distinct(), same, "left_anti")
+    again = judged.filter("kept").groupBy("__id", "__mark").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    if again.isEmpty():
+        return rest
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = docs.join(again, same).groupBy("__id", "__mark").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return rest.join(again, same, "left_anti").unionByName(once)
+
+
 def ranked(df: DataFrame, order: list, sums_before: dict[str, Column], rank: str | None = None) -> DataFrame:
     """Running sums (and 0-based ranks) over the whole frame in a sorted order, without one window over all rows.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import keyed, whole
+from passagework.llm.common import keyed, staying, whole
 
 
 def content_hash(text: Column) -> Column:
@@ -42,8 +42,6 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, keep: str = "smallest") -> DataFrame:
-    """The documents, all columns, less those that `exact_dedup` drops."""
-    dropped = exact_dedup(docs, doc_id, text, keep=keep).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    same = F.sha2(whole(text), 256).eqNullSafe(F.col("__sha")) & F.col(doc_id).eqNullSafe(F.col("__id"))
-    return docs.join(dropped, same, "left_anti")
+    """The documents, all columns, less those that `exact_dedup` drops: one row of each text, also of repeated rows and null ids."""
+    judged = exact_dedup(docs, doc_id, text, keep=keep).filter("group_size > 1").select("doc_id", F.col("text_sha256").alias("mark"), "kept")
+    return staying(docs, judged, doc_id, F.sha2(whole(text), 256))

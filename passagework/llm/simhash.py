@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import keyed, whole
+from passagework.llm.common import keyed, staying, whole
 from passagework.llm.components import components
 from passagework.session import cut
 
@@ -172,6 +172,16 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
     return dealt.mapInArrow(_linker(bits), "a long, b long")
 
 
+def _labelled(docs: DataFrame, doc_id: str, text: str, words: int = 3, seed: int = 42, bits: int = 3) -> DataFrame:
+    """(doc_id, text_hash, print, label, component_id, members): the rows with their component's label, least id and number of rows."""
+    rows = cut(fingerprints(docs, doc_id, text, words, seed))
+    nodes = cut(rows.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
+    labels = components(links(nodes.select("print"), bits))
+    named = nodes.join(labels, nodes["print"] == labels["node"], "left").select("print", "least_id", "n", F.coalesce("label", "print").alias("label"))
+    least = named.groupBy("label").agg(F.min("least_id").alias("component_id"), F.sum("n").alias("members"))
+    return rows.join(named.join(least, "label").select("print", "label", "component_id", "members"), "print")
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 3, seed: int = 42, bits: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, text_hash.
 
@@ -180,18 +190,14 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     like any other; null ids never are the least (a component of null ids alone has a null id); rows that repeat an id
     are judged each. An empty table gives no rows.
     """
-    rows = cut(fingerprints(docs, doc_id, text, words, seed))
-    nodes = cut(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")))
-    labels = components(links(nodes, bits))
-    named = nodes.join(labels, nodes["print"] == labels["node"], "left").select("print", "least_id", F.coalesce("label", "print").alias("label"))
-    least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    groups = named.join(least, "label").select("print", "component_id")
-    return rows.join(groups, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
+    rows = _labelled(docs, doc_id, text, words, seed, bits)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents, all columns: of each component the one with the least id stays."""
-    dropped = near_groups(docs, doc_id, text, **options).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = F.xxhash64(whole(text)).eqNullSafe(F.col("__hash")) & F.col(doc_id).eqNullSafe(F.col("__id"))
-    return docs.join(dropped, same, "left_anti")
+    """The documents, all columns: of each component one row with the least id stays, of its texts the one of least hash."""
+    rows = cut(_labelled(docs, doc_id, text, **options).filter("members > 1").select(
+        "doc_id", "text_hash", "label", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("least")))
+    best = rows.filter("least").groupBy("label").agg(F.min("text_hash").alias("best"))
+    judged = rows.join(best, "label").select("doc_id", F.col("text_hash").alias("mark"), (F.col("least") & (F.col("text_hash") == F.col("best"))).alias("kept"))
+    return staying(docs, judged, doc_id, F.xxhash64(whole(text)))
