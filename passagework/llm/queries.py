@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.llm.align import align
+from passagework.llm.binary import read_tokens, token_checksums, write_tokens
 from passagework.llm.bpe import encode
 from passagework.llm.common import table
 from passagework.llm.exact import exact_dedup
+from passagework.llm.lexical import search
 from passagework.llm.lines import BREAK, EDGES, HIDDEN, TAG, drop_boilerplate
 from passagework.llm.mixing import mix
 from passagework.llm.quality import quality
@@ -19,6 +22,7 @@ from passagework.llm.substrings import drop_repeated_chunks
 from passagework.llm.suffixes import drop_repeats
 from passagework.llm.tokens import count_tokens
 from passagework.llm.urls import filter_urls
+from passagework.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,3 +162,34 @@ def _urls(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op4_suffix_array_dedup")
 def _repeats(spark: SparkSession, sf: str) -> DataFrame:
     return drop_repeats(table(spark, sf, "documents")).drop("spans")
+
+
+@_query("op11_cross_tokenizer_alignment")
+def _aligned(spark: SparkSession, sf: str) -> DataFrame:
+    return align(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query("op12_token_files")
+def _token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_dir(spark)
+    write_tokens(table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_checksums(read_tokens(spark, path))
+
+
+@_query("op13_ranked_search", r"""
+    WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM t GROUP BY doc_id),
+    whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes),
+    m AS (SELECT doc_id, 100 - 25 + ((25 * n * docs) // terms) AS m FROM sizes, whole),
+    tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY doc_id, term),
+    w AS (SELECT term, floor(1000 * ln((2 * (SELECT docs FROM whole) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf GROUP BY term),
+    asked AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+    scored AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+               FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20""")
+def _ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
