@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from passagework.session import cut
 
 #: Steps of the merge in one piece.
 PIECE = 1 << 14
+_NONE = np.empty(0, np.int32)
 #: What may begin white space: its ASCII bytes, and the first bytes of every longer character that is white space.
 _MAYBE_SPACE = bytes_where(lambda b: b in b" \t\n\v\f\r\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3")
 
@@ -46,21 +48,32 @@ class Pair:
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
             self.bytes_a[i] = bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()
+        self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, units: list[str]) -> list[list[list[int]]]:
-        """Ids of units, each of which begins with a space; none where the bytes of the tokens are not those of the unit."""
-        made_a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        made_b = self.b.encode([u[1:] for u in units], num_threads=1)
+    def encode(self, units: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of units, each of which begins with a space, and how many each has; none where the tokens spell other bytes.
+
+        A takes the units as one text, except those that end in a space, which could join the next; its tokens' bytes tell whose a
+        token is.
+        """
+        raw_a = [_NONE] * len(units)
+        joined = [k for k, u in enumerate(units) if u[-1] != 32]
+        for some in [joined, *([k] for k, u in enumerate(units) if u[-1] == 32)]:
+            ids = np.array(self.a.encode(b"".join([units[k] for k in some]).decode(), add_special_tokens=False).ids, np.int32)
+            ends = np.searchsorted(np.cumsum(self.size_a[ids]), np.cumsum([len(units[k]) for k in some]), "right").tolist()
+            for k, lo, hi in zip(some, [0, *ends], ends, strict=False):
+                raw_a[k] = ids[lo:hi]
+        raw_b = self.b.encode([u[1:].decode() for u in units], num_threads=1)
         for k, unit in enumerate(units):
-            raw = unit.encode()
-            if b"".join([self.bytes_a[i] for i in made_a[k]]) != raw or b"".join([self.bytes_b[i] for i in made_b[k]]) != raw:
-                made_a[k] = made_b[k] = []
-        return [made_a, made_b]
+            if b"".join([self.bytes_a[i] for i in raw_a[k].tolist()]) != unit or b"".join([self.bytes_b[i] for i in raw_b[k]]) != unit:
+                raw_a[k] = raw_b[k] = _NONE
+        count = lambda lists: np.fromiter(map(len, lists), np.int64, len(lists))
+        return [(np.concatenate(raw_a), count(raw_a)), (np.fromiter(chain.from_iterable(raw_b), np.int32), count(raw_b))]
 
 
 def spaced_units(held: np.ndarray, at: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
@@ -137,7 +150,7 @@ def _aligned(spec: str, model: bytes, piece: int, with_groups: bool):
         spelled = np.array([f"{i}{mark}" for n, own in marks for mark in own for i in range(n)], object)
         base_b = 3 * n_a
         for batch in batches:
-            for part, held, at in portions(batch):
+            for part, held, at in portions(batch, 4 << 20):
                 units, bounds = spaced_units(held, at)
                 codes = memory.codes(units)
                 lengths = [memory.starts[s][codes + 1] - memory.starts[s][codes] for s in (0, 1)]

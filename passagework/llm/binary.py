@@ -22,15 +22,27 @@ _SOLID = bytes_where(lambda b: b not in b" \t\n\v\f\r")
 _FILES = "_files"
 
 
+def spaced_ids(tokenizer: Tokenizer, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of units free of ASCII white space, and how many each has, encoded as one text with spaces between them.
+
+    Offsets tell whose a token is.
+    """
+    texts = [u.decode() for u in units]
+    made = tokenizer.encode(" ".join(texts), add_special_tokens=False)
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    first = np.searchsorted(np.array([start for start, _ in made.offsets], np.int64), begins)
+    return np.array(made.ids, np.int32), np.diff(np.append(first, len(made.ids)))
+
+
 def _encoder(spec: str, end_id: int):
     """Ids of sorted documents, each with its end id, and how many ids of the same file stand before it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_str(spec)
-        memory = Remembered(lambda texts: [[e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]])
+        memory = Remembered(lambda units: [spaced_ids(tokenizer, units)])
         written = 0
         for batch in batches:
-            for part, held, at in portions(batch):
+            for part, held, at in portions(batch, 4 << 20):
                 units, bounds = runs(held, at, _SOLID)
                 ids, lengths = memory.gather(memory.codes(units))
                 ends = np.concatenate([[0], np.cumsum(lengths)])[bounds]

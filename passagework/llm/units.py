@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-#: Distinct units, and their bytes, that a task remembers before it starts over.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 64 << 20
+#: Distinct units, and their bytes, that a task remembers; then it forgets all but the half met most often.
+REMEMBERED, REMEMBERED_BYTES = 600_000, 64 << 20
+#: Units encoded in one call.
+AT_ONCE = 256
 
 
 def bytes_where(test: Callable[[int], bool]) -> np.ndarray:
@@ -46,35 +47,57 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Remembered:
     """Id lists of distinct units, made once by `encode` while remembered.
 
-    `encode` takes texts and gives, for each of `sides`, one id list per text.
+    `encode` takes units and gives, for each of `sides`, their ids behind each other and how many each has. Units met often are kept, so that few of the rare
+    ones that follow each other push them out.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[list[Sequence[int]]]], sides: int = 1):
+    def __init__(self, encode: Callable[[list[bytes]], Sequence[tuple[np.ndarray, np.ndarray]]], sides: int = 1):
         self.encode, self.sides = encode, sides
-        self._clear()
-
-    def _clear(self) -> None:
-        self.places, self.held_bytes = {}, 0
-        self.ids = [np.empty(0, np.int32) for _ in range(self.sides)]
-        self.starts = [np.zeros(1, np.int64) for _ in range(self.sides)]
+        self.new_ids, self.new_lengths = ([[] for _ in range(sides)] for _ in range(2))
+        self._keep(np.empty(0, np.int64))
+
+    def _keep(self, codes: np.ndarray) -> None:
+        """Forgets all units but those at some places, which move up in their order."""
+        if not len(codes):
+            self.names, self.times = [], np.empty(0, np.int64)
+            self.ids = [np.empty(0, np.int32) for _ in range(self.sides)]
+            self.starts = [np.zeros(1, np.int64) for _ in range(self.sides)]
+        else:
+            held = [self.gather(codes, side) for side in range(self.sides)]
+            self.names, self.times = [self.names[c] for c in codes.tolist()], self.times[codes] // 2
+            self.ids, self.starts = [ids for ids, _ in held], [np.append(0, np.cumsum(lengths)) for _, lengths in held]
+        self.places = {u: k for k, u in enumerate(self.names)}
+        self.held_bytes = sum(map(len, self.names))
 
     def codes(self, units: pa.LargeBinaryArray) -> np.ndarray:
         """A place for each unit; valid until the next call."""
         coded = units.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.places) + len(names) > REMEMBERED or self.held_bytes > REMEMBERED_BYTES:
-            self._clear()
+            often = np.argsort(-self.times, kind="stable")[:REMEMBERED // 2]
+            self._keep(np.sort(often[self.times[often] > 1]) if self.held_bytes <= REMEMBERED_BYTES else often[:0])
         fresh = [u for u in names if u not in self.places]
+        for at in range(0, len(fresh), AT_ONCE):
+            self._add(fresh[at:at + AT_ONCE])
         if fresh:
-            self.held_bytes += sum(map(len, fresh))
-            for u in fresh:
-                self.places[u] = len(self.places)
-            for side, made in enumerate(self.encode([u.decode() for u in fresh])):
-                lengths = np.fromiter(map(len, made), np.int64, len(made))
-                self.ids[side] = np.concatenate([self.ids[side], np.fromiter(chain.from_iterable(made), np.int32, int(lengths.sum()))])
-                self.starts[side] = np.concatenate([self.starts[side], self.starts[side][-1] + np.cumsum(lengths)])
-        known = np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))
-        return known[coded.indices.to_numpy()] if len(names) else np.empty(0, np.int64)
+            self.ids = [np.concatenate([old, *new]) for old, new in zip(self.ids, self.new_ids, strict=True)]
+            self.starts = [np.concatenate([old, old[-1] + np.cumsum(np.concatenate(new))]) for old, new in zip(self.starts, self.new_lengths, strict=True)]
+            self.times = np.append(self.times, np.zeros(len(fresh), np.int64))
+        self.new_ids, self.new_lengths = ([[] for _ in range(self.sides)] for _ in range(2))
+        if not len(names):
+            return np.empty(0, np.int64)
+        codes = np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))[which]
+        self.times += np.bincount(codes, minlength=len(self.times))
+        return codes
+
+    def _add(self, fresh: list[bytes]) -> None:
+        self.held_bytes += sum(map(len, fresh))
+        for u in fresh:
+            self.places[u] = len(self.places)
+        self.names += fresh
+        for side, (ids, lengths) in enumerate(self.encode(fresh)):
+            self.new_ids[side].append(ids)
+            self.new_lengths[side].append(lengths)
 
     def gather(self, codes: np.ndarray, side: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """The ids of units behind each other, and how many each unit has."""
