@@ -19,6 +19,8 @@ from passagework.session import cut
 
 #: Steps of the merge in one piece.
 PIECE = 1 << 14
+#: Distinct units a task remembers, and bytes of text it works on at a time; both tokenizers and their pieces are in memory beside them.
+MEMORY, PORTION = 250_000, 2 << 20
 _NONE = np.empty(0, np.int32)
 #: What may begin white space: its ASCII bytes, and the first bytes of every longer character that is white space.
 _MAYBE_SPACE = bytes_where(lambda b: b in b" \t\n\v\f\r\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3")
@@ -142,7 +144,7 @@ def _aligned(spec: str, model: bytes, piece: int, with_groups: bool):
     """Per document: sizes, groups and their digest, and its distinct pairs of linked ids with their occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Pair(spec, model)
-        memory = Remembered(both.encode, 2)
+        memory = Remembered(both.encode, 2, MEMORY)
         sizes = [np.array([len(x) for x in names], np.int64) for names in (both.bytes_a, both.bytes_b)]
         n_a, n_b = len(both.bytes_a), len(both.bytes_b)
         # What is written for a token: its id, and the mark behind it; none, ",", and "|" or ";".
@@ -150,7 +152,7 @@ def _aligned(spec: str, model: bytes, piece: int, with_groups: bool):
         spelled = np.array([f"{i}{mark}" for n, own in marks for mark in own for i in range(n)], object)
         base_b = 3 * n_a
         for batch in batches:
-            for part, held, at in portions(batch, 4 << 20):
+            for part, held, at in portions(batch, PORTION):
                 units, bounds = spaced_units(held, at)
                 codes = memory.codes(units)
                 lengths = [memory.starts[s][codes + 1] - memory.starts[s][codes] for s in (0, 1)]

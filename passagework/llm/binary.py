@@ -22,6 +22,14 @@ _SOLID = bytes_where(lambda b: b not in b" \t\n\v\f\r")
 _FILES = "_files"
 
 
+def parted(tokenizer: Tokenizer) -> np.ndarray:
+    """Kinds of bytes for `runs`: letters, and marks that the tokenizer always parts from letters; so that words are met without them."""
+    split = lambda text: [s for s, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] if tokenizer.pre_tokenizer else [text]
+    special = "".join(x.content for x in tokenizer.get_added_tokens_decoder().values())
+    marks = [m for m in ".,;:!?" if m not in special and all(len(split(text)) == 3 for text in (f"a{m}a", f"Z{m}z", f"{m}a{m}"))]
+    return np.array([1 if chr(b).isascii() and chr(b).isalpha() else 2 if chr(b) in marks else 0 for b in range(256)], np.uint8)
+
+
 def spaced_ids(tokenizer: Tokenizer, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of units free of ASCII white space, and how many each has, encoded as one text with spaces between them.
 
@@ -39,11 +47,11 @@ def _encoder(spec: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_str(spec)
-        memory = Remembered(lambda units: [spaced_ids(tokenizer, units)])
+        memory, kinds = Remembered(lambda units: [spaced_ids(tokenizer, units)]), parted(tokenizer)
         written = 0
         for batch in batches:
             for part, held, at in portions(batch, 4 << 20):
-                units, bounds = runs(held, at, _SOLID)
+                units, bounds = runs(held, at, _SOLID, kinds)
                 ids, lengths = memory.gather(memory.codes(units))
                 ends = np.concatenate([[0], np.cumsum(lengths)])[bounds]
                 ids = np.insert(ids, ends[1:], end_id)
