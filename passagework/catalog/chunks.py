@@ -144,7 +144,52 @@ def corpus_stats(spark, sf):
     return ch.corpus_stats(ch.fixed_window_chunks(line_blocks(spark, sf), 128, 16))
 
 
-@check("structural_chunks")
+# Every step by itself, one after another: where sentences stand, where groups begin, which chunk takes up the next.
+STRUCTURAL = (OPEN.replace("lines AS", "raw AS").replace("FROM lines", "FROM raw")
+    .replace("string_agg(h.x, ' > ' ORDER BY h.ord) AS path", "list(h.x ORDER BY h.ord) AS path") + f""",
+    lines AS (SELECT doc_id, ord, x AS line FROM blocks WHERE NOT is_heading), {SENTENCES},
+    offsets AS (SELECT doc_id, ord, page, x, coalesce(sum(length(x) + 2) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS skip,
+                       coalesce(max(CASE WHEN is_heading THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord), -1) AS mark FROM blocks),
+    placed AS (SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id, ord ORDER BY g) AS k, sentence FROM sentences),
+    found AS (
+        SELECT doc_id, ord, 0::BIGINT AS k, 0::BIGINT AS begins, 0::BIGINT AS cursor_at FROM offsets
+        UNION ALL
+        SELECT p.doc_id, p.ord, p.k, f.cursor_at + greatest(instr(substr(o.x, f.cursor_at + 1), p.sentence) - 1, 0),
+               f.cursor_at + greatest(instr(substr(o.x, f.cursor_at + 1), p.sentence) - 1, 0) + length(p.sentence)
+        FROM found f JOIN placed p ON p.doc_id = f.doc_id AND p.ord = f.ord AND p.k = f.k + 1 JOIN offsets o ON o.doc_id = p.doc_id AND o.ord = p.ord),
+    numbered AS (SELECT doc_id, ord, mark, page, sentence, skip + begins AS char_start, skip + begins + length(sentence) AS char_end, greatest(1, round_even(length(sentence) / 4.0, 0)::BIGINT) AS n,
+                        row_number() OVER (PARTITION BY doc_id ORDER BY ord, k) AS i FROM placed JOIN found USING (doc_id, ord, k) JOIN offsets USING (doc_id, ord)),
+    summed AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, mark ORDER BY i)::BIGINT AS upto, max(i) OVER (PARTITION BY doc_id, mark) AS last_i FROM numbered),
+    ends AS (SELECT a.doc_id, a.mark, a.i, a.upto - a.n AS before, coalesce(min(b.i), any_value(a.last_i) + 1) AS e FROM summed a
+             LEFT JOIN summed b ON b.doc_id = a.doc_id AND b.mark = a.mark AND b.i > a.i AND b.upto - a.upto + a.n > 128 GROUP BY ALL),
+    tails AS (SELECT c.doc_id, c.i, c.e, any_value(z.upto) AS upto, min(struct_pack(i := q.i, before := q.upto - q.n)) AS tail FROM ends c JOIN summed z ON z.doc_id = c.doc_id AND z.i = c.e AND z.mark = c.mark
+              JOIN summed q ON q.doc_id = c.doc_id AND q.i >= c.i AND q.i <= c.e AND z.upto - z.n - q.upto + q.n <= 16 GROUP BY c.doc_id, c.i, c.e),
+    jumps AS (SELECT doc_id, i, CASE WHEN upto - tail.before <= 128 THEN tail.i ELSE e END AS onward FROM tails),
+    chain AS (
+        SELECT doc_id, min(i) AS i FROM summed GROUP BY doc_id, mark
+        UNION ALL
+        SELECT j.doc_id, j.onward FROM chain c JOIN jumps j ON j.doc_id = c.doc_id AND j.i = c.i),
+    groups AS (SELECT c.doc_id, c.i, any_value(e.mark) AS mark, string_agg(s.sentence, ' ' ORDER BY s.i) AS text, sum(s.n)::BIGINT AS n, min_by(s.page, s.i) AS page_number, max(s.page) AS last_page,
+                      min_by(s.char_start, s.i) AS char_start, max_by(s.char_end, s.i) AS char_end, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.i) AS pos
+               FROM chain c JOIN ends e ON e.doc_id = c.doc_id AND e.i = c.i JOIN summed s ON s.doc_id = c.doc_id AND s.i >= c.i AND s.i < e.e GROUP BY c.doc_id, c.i),
+    named AS (SELECT g.*, coalesce(path, []) AS path, section, heading FROM groups g LEFT JOIN paths p ON p.doc_id = g.doc_id AND p.ord = g.mark),
+    pairs AS (SELECT a.*, b.text AS b_text, b.path AS b_path, b.section AS b_section, b.heading AS b_heading, b.last_page AS b_last, b.char_end AS b_end,
+                     coalesce(a.n < 16 AND b.path[1:len(a.path)] = a.path AND a.n + b.n <= 256, false) AS takes
+              FROM named a LEFT JOIN named b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1),
+    stands AS (
+        SELECT doc_id, 1::BIGINT AS pos, 0::BIGINT AS chunk_index FROM pairs WHERE pos = 1
+        UNION ALL
+        SELECT p.doc_id, p.pos + CASE WHEN p.takes THEN 2 ELSE 1 END, s.chunk_index + 1 FROM stands s JOIN pairs p ON p.doc_id = s.doc_id AND p.pos = s.pos),
+    structural AS (SELECT doc_id AS document_id, 'doc-' || doc_id AS document_name, source AS user_id, chunk_index, CASE WHEN takes THEN text || ' ' || b_text ELSE text END AS text,
+                          page_number, nullif(greatest(CASE WHEN takes THEN greatest(last_page, b_last) ELSE last_page END, page_number), page_number) AS page_end, NULL::INT AS slide_number,
+                          CASE WHEN takes AND len(b_path) > len(path) THEN b_section ELSE section END AS section, CASE WHEN takes AND len(b_path) > len(path) THEN b_heading ELSE heading END AS heading,
+                          char_start, CASE WHEN takes THEN b_end ELSE char_end END AS char_end, 'text' AS source
+                   FROM pairs JOIN stands USING (doc_id, pos) JOIN (SELECT doc_id, source FROM documents) USING (doc_id)),
+    hashed AS (SELECT *, sha256(regexp_replace({NORMAL}, '^\\s+|\\s+$', '', 'g')) AS content_hash FROM structural)""")
+
+
+@check("structural_chunks", f"""WITH RECURSIVE {STRUCTURAL} SELECT *, greatest(1, round_even(length(text) / 4.0, 0)::INT) AS token_count,
+    {uuid5_sql(t.CHUNK_NAMESPACE, "document_id::VARCHAR || ':' || hashed.content_hash")} AS chunk_id FROM hashed""")
 def structural_chunks(spark, sf):
     return ch.structural_chunks(line_blocks(spark, sf), 128, 16, 16).drop("heading_path")
 

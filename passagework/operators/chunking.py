@@ -6,15 +6,14 @@ level, page, slide, source, document_name, user_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from passagework.functions import text as t
 from passagework.functions.sequence import carried, upper_median, with_position
+from passagework.operators.packing import STRETCH, pack, slices_of, tokens_of
 from passagework.session import cut
 
 DOC = ["document_id"]
@@ -22,9 +21,6 @@ LEVELS = 6
 ATOMIC = ("table", "speaker_note", "figure")
 # Fixed value: how far above the target an atomic piece or a merged chunk may go.
 OVERSIZE = 2
-# Place of a piece: block order times STEP, plus its number in the block; both have room for 2^23 and 2^40.
-STEP = 1 << 40
-_WIDE = STEP * 64
 _OPTIONAL = {"level": "int", "page": "int", "slide": "int", "source": "string", "document_name": "string", "user_id": "string"}
 
 
@@ -136,180 +132,107 @@ def fixed_window_chunks(blocks: DataFrame, target_tokens: int = 512, overlap_tok
     )
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _places(texts: pd.Series, sentences: pd.Series) -> pd.Series:
-    """Where each sentence starts in its text, searching on from the one before."""
-
-    def of(text: str, parts) -> list[int]:
-        found, cursor = [], 0
-        for part in parts:
-            at = max(text.find(part, cursor), 0) or cursor
-            found.append(at)
-            cursor = at + len(part)
-        return found
-
-    return pd.Series([of(a, b) for a, b in zip(texts, sentences)])
-
-
-def _runs_of(blocks: DataFrame, target: int) -> DataFrame:
-    """Body blocks with their headings, their offset in the document, and the run they belong to.
+_SLICES = "array<struct<at: int, before: bigint, lengths: array<int>, starts: array<int>>>"
 
-    A run starts after a heading, at a figure on another page, and around an oversized piece.
-    """
-    atomic = F.col("type").isin(*ATOMIC)
-    heading = F.col("type") == "heading"
-    rows = cut(complete(blocks).withColumn("big", atomic & (t.token_count("text") > target)))
-    rows = carried(
-        rows, DOC, "order", last=_opened(), sums_before={"offset": F.length("text") + 2},
-        last_before={
-            "mark": F.when(heading, F.col("order")),
-            "prev": F.when(~heading, F.struct("order", "page", "slide", "big")),
-        },
-    )
-    body = _name_path(rows).drop(*_opened()).filter(~heading)
-    moved = ~(F.col("prev.page").eqNullSafe(F.col("page")) & F.col("prev.slide").eqNullSafe(F.col("slide")))
-    starts = (
-        F.col("prev").isNull() | (F.coalesce("mark", F.lit(-1)) > F.col("prev.order")) | F.col("big") | F.col("prev.big")
-        | ((F.col("type") == "figure") & moved)
-    )
-    body = cut(body.withColumns({"atomic": atomic, "starts": starts}).drop("mark", "prev", "big"))
-    return carried(body, DOC, "order", last={"run": F.when(F.col("starts"), F.col("order").cast("bigint"))})
-
-
-def pieces_of(runs: DataFrame, target: int) -> DataFrame:
-    """The smallest units of packing: sentences, and tables, notes and figures kept whole."""
-    parts = F.when(F.col("atomic"), F.array("text")).otherwise(t.split_sentences("text"))
-    split = runs.withColumn("parts", parts).withColumn("found", _places("text", "parts"))
-    zipped = F.zip_with("parts", "found", lambda a, b: F.struct(a.alias("piece"), (F.col("offset") + b).alias("start")))
-    pieces = split.select("*", F.posexplode(zipped).alias("idx", "__p")).select(
-        *DOC, "run", "order", "idx", "atomic", "page", "slide", "source", "document_name", "user_id", "section", "heading", "heading_path",
-        F.col("__p.piece").alias("text"), F.col("__p.start").alias("start"), t.token_count(F.col("__p.piece")).alias("tokens"),
-    )
-    lines = F.transform(F.split("text", "\n"), lambda s: F.when(s.rlike(r"(?U)\S"), t.token_count(s)).otherwise(0))
-    return pieces.withColumn("line_tokens", F.when(F.col("atomic") & (F.col("tokens") > OVERSIZE * target), lines))
 
+def _slicer(width: int):
+    """Where each piece of a block starts in its text (searching on from the one before), in slices of bounded tokens."""
 
-def _line_groups(sizes, target: int) -> list[list[int]]:
-    """Lines of an oversized piece, filled up to the target; blank lines (size 0) left out."""
-    groups: list[list[int]] = [[]]
-    used = 0
-    for line, size in enumerate(sizes):
-        if size and groups[-1] and used + size > target:
-            groups.append([])
-            used = 0
-        if size:
-            groups[-1].append(line)
-            used += size
-    return [g for g in groups if g]
+    def of(text: str, parts, lined: bool) -> list[tuple]:
+        starts, lengths, cursor = [], [len(p) for p in parts], 0
+        for part in parts:
+            # Lines follow each other without the blank ones between them.
+            at = cursor if lined else max(text.find(part, cursor), 0) or cursor
+            starts.append(at)
+            cursor = at + len(part) + lined
+        cuts = slices_of(tokens_of(np.array(lengths, np.int64)), width)
+        return [(at, before, lengths[at:at + n], starts[at:at + n]) for at, n, before in cuts]
 
+    @F.pandas_udf(_SLICES)
+    def run(texts: pd.Series, parts: pd.Series, lined: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("at", "before", "lengths", "starts"), x, strict=True)) for x in of(*row)] for row in zip(texts, parts, lined, strict=True)])
 
-_CARRIED = ("document_name", "user_id", "section", "heading", "heading_path")
-_GROUP = (
-    "document_id {doc}, run bigint, grp int, tokens bigint, text string, first_page int, last_page int, slide int, char_start bigint, "
-    "char_end bigint, vision boolean, document_name string, user_id {user}, section string, heading string, heading_path array<string>"
-)
+    return run
 
 
-def _pack(target: int, overlap: int):
-    """Greedy packing over pieces sorted by run, as a stream.
+def piece_rows(blocks: DataFrame, target: int, width: int) -> DataFrame:
+    """Blocks with `parts`, the smallest units of packing, and `slices`, their places and lengths.
 
-    What is carried from row to row is the open group, never more than a target of tokens (or
-    one piece), so a run of any length passes through.
+    Parts are sentences; tables, notes and figures are whole, or their lines where they exceed what may stand. Headings have none.
     """
+    atomic = F.col("type").isin(*ATOMIC)
+    size = t.token_count("text")
+    lined = atomic & (size > OVERSIZE * target)
+    whole = F.when(F.col("type") == "heading", F.array().cast("array<string>")).when(
+        lined, F.filter(F.split("text", "\n"), lambda s: s.rlike(r"(?U)\S"))).when(atomic, F.array("text")).otherwise(t.split_sentences("text"))
+    rows = complete(blocks).withColumns({"atomic": atomic, "big": atomic & (size > target), "lined": lined, "parts": whole})
+    return rows.withColumn("slices", _slicer(width)("text", "parts", "lined"))
 
-    def repeated(members: list) -> list:
-        """The trailing sentences that also open the next group."""
-        kept: list = []
-        room = overlap
-        for m in reversed(members):
-            if overlap <= 0 or m.atomic or m.tokens > room:
-                break
-            kept.insert(0, m)
-            room -= m.tokens
-        return kept
-
-    def made(group: int, members: list) -> tuple:
-        pages = [m.page for m in members if not pd.isna(m.page)]
-        first, last = members[0], members[-1]
-        return (
-            first.document_id, first.run, group, sum(m.tokens for m in members), " ".join(m.text for m in members), first.page,
-            max(pages, default=None), first.slide, first.start, last.start + len(last.text), all(m.source == "vision" for m in members),
-            *(getattr(first, c) for c in _CARRIED),
-        )
-
-    def by_line(piece) -> Iterator[tuple]:
-        lines = piece.text.split("\n")
-        starts, at = [], piece.start
-        for line, size in zip(lines, piece.line_tokens):
-            starts.append(at)
-            at += len(line) + 1 if size else 0
-        for group, chosen in enumerate(_line_groups(piece.line_tokens, target)):
-            yield made(group, [piece._replace(text=lines[i], tokens=int(piece.line_tokens[i]), start=starts[i]) for i in chosen])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, group, members, used = None, 0, [], 0
-        for pdf in frames:
-            out: list[tuple] = []
-            for piece in pdf.itertuples(index=False):
-                if (piece.document_id, piece.run) != key:
-                    if members:
-                        out.append(made(group, members))
-                    key, group, members, used = (piece.document_id, piece.run), 0, [], 0
-                if piece.line_tokens is not None:  # alone in its run
-                    out.extend(by_line(piece))
-                    continue
-                if members and used + piece.tokens > target:
-                    out.append(made(group, members))
-                    group += 1
-                    members = repeated(members)
-                    used = sum(m.tokens for m in members)
-                    if used + piece.tokens > target:
-                        members, used = [], 0
-                members.append(piece)
-                used += piece.tokens
-            yield _frame(out)
-        if members:
-            yield _frame([made(group, members)])
-
-    return run
 
+def _runs_of(rows: DataFrame) -> DataFrame:
+    """Body blocks, numbers only: offset in the document, latest heading, run, and tokens and pieces before.
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = ("document_id", "run", "grp", "tokens", "text", "first_page", "last_page", "slide", "char_start", "char_end", "vision", *_CARRIED)
-    return pd.DataFrame(rows, columns=list(names)).astype({"first_page": "Int32", "last_page": "Int32", "slide": "Int32"})
+    A run starts after a heading, at a figure on another page, and around an oversized piece.
+    """
+    heading = F.col("type") == "heading"
+    last = F.element_at("slices", -1)
+    spoken = F.transform(last["lengths"], lambda n: F.greatest(F.lit(1), F.bround(n / t.CHARS_PER_TOKEN).cast("int")))
+    numbers = rows.select(
+        *DOC, "order", heading.alias("heading"), (F.col("type") == "figure").alias("figure"), "page", "slide", (F.col("source") == "vision").alias("vision"),
+        "atomic", "big", F.length("text").alias("length"), "slices", (last["before"] + F.aggregate(spoken, F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("tokens"),
+        (last["at"] + F.size(last["lengths"])).cast("bigint").alias("pieces"))
+    placed = carried(numbers, DOC, "order", sums_before={"offset": F.col("length") + 2}, last_before={
+        "mark": F.when(F.col("heading"), F.col("order").cast("bigint")),
+        "prev": F.when(~F.col("heading"), F.struct("order", "page", "slide", "big")),
+    }).filter(~F.col("heading"))
+    moved = ~(F.col("prev.page").eqNullSafe(F.col("page")) & F.col("prev.slide").eqNullSafe(F.col("slide")))
+    starts = (
+        F.col("prev").isNull() | (F.coalesce("mark", F.lit(-1)) > F.col("prev.order")) | F.col("big") | F.col("prev.big") | (F.col("figure") & moved)
+    )
+    body = cut(placed.withColumn("starts", starts).drop("prev", "big", "heading", "figure", "length"))
+    return cut(carried(body, DOC, "order", last={"run": F.when(F.col("starts"), F.col("order").cast("bigint"))},
+                       sums_before={"base": F.col("tokens"), "first": F.col("pieces")}).drop("starts", "tokens", "pieces"))
 
 
-def structural_chunks(blocks: DataFrame, target_tokens: int = 512, overlap_tokens: int = 64, min_tokens: int = 64) -> DataFrame:
+def structural_chunks(blocks: DataFrame, target_tokens: int = 512, overlap_tokens: int = 64, min_tokens: int = 64, stretch: int = STRETCH) -> DataFrame:
     """Chunks that never cross a heading nor cut a sentence.
 
-    Packing is the one sequential step. It starts afresh with every run, so runs are packed
-    apart, in parallel. Intermediate tables are written: each later step reads them twice.
+    Sentences are found once and written; from there on only numbers move (`packing.pack`), however long a run is. The text is
+    brought to its chunks at the end, where each block hands out its sentences. A task packs `stretch` targets of tokens at a time.
     """
-    if target_tokens <= 0:
-        raise ValueError("target_tokens must be positive")
-    pieces = pieces_of(_runs_of(blocks, target_tokens), target_tokens)
-    doc, user = (pieces.schema[c].dataType.simpleString() for c in ("document_id", "user_id"))
-    groups = cut(
-        pieces.repartition(*DOC, "run").sortWithinPartitions(*DOC, "run", "order", "idx")
-        .mapInPandas(_pack(target_tokens, min(overlap_tokens, target_tokens // 2)), _GROUP.format(doc=doc, user=user))
-        .withColumn("at", F.col("run") * STEP + F.col("grp"))
-    )
+    if target_tokens <= 0 or stretch < 2:
+        raise ValueError("target_tokens must be positive and a stretch two targets long")
+    width = stretch * target_tokens
+    rows = cut(piece_rows(blocks, target_tokens, width))
+    opened = carried(rows.filter("type = 'heading'").select(*DOC, "order", "type", "level", "text"), DOC, "order", last=_opened())
+    heads = _name_path(opened).select(F.col("document_id").alias("h_doc"), F.col("order").cast("bigint").alias("h_order"), "section", "heading", "heading_path")
+    groups = pack(_runs_of(rows), target_tokens, min(overlap_tokens, target_tokens // 2), width)
+    groups = cut(groups.join(heads, (F.col("document_id") == F.col("h_doc")) & (F.col("mark") == F.col("h_order")), "left").drop("h_doc", "h_order").withColumn(
+        "heading_path", F.coalesce("heading_path", F.array().cast("array<string>"))))
     plan = _fold_small(groups.select(*DOC, "at", "tokens", "heading_path"), target_tokens, min_tokens)
-    part = ("text", "first_page", "last_page", "slide", "char_start", "char_end", "vision", *_CARRIED)
+    part = ("first_page", "last_page", "slide", "char_start", "char_end", "vision", "section", "heading", "heading_path", "members")
     one = groups.select(*DOC, "at", *part)
     two = groups.select(*[F.col(c).alias(f"b_{c}") for c in (*DOC, "at", *part)])
-    rows = plan.join(one, [*DOC, "at"]).join(
-        two, (F.col("document_id") == F.col("b_document_id")) & (F.col("folded_at") == F.col("b_at")), "left")
     both = F.col("folded_at").isNotNull()
     deeper = both & (F.size("b_heading_path") > F.size("heading_path"))
     pick = lambda c: F.when(deeper, F.col(f"b_{c}")).otherwise(F.col(c)).alias(c)
-    return _finish(rows.select(
-        *DOC, "document_name", "user_id", "chunk_index", t.strip(F.concat_ws(" ", "text", "b_text")).alias("text"),
-        F.col("first_page").alias("page_number"), page_end("first_page", F.greatest("last_page", "b_last_page")).alias("page_end"),
+    of_part = lambda c, n: F.transform(F.coalesce(c, F.array().cast("array<struct<order: bigint, piece: int, pieces: int>>")), lambda m: F.struct(F.lit(n).alias("part"), m["order"].alias("order"), m["piece"].alias("piece"), m["pieces"].alias("pieces")))
+    made = cut(plan.join(one, [*DOC, "at"]).join(two, (F.col("document_id") == F.col("b_document_id")) & (F.col("folded_at") == F.col("b_at")), "left").select(
+        *DOC, "chunk_index", F.col("first_page").alias("page_number"), page_end("first_page", F.greatest("last_page", "b_last_page")).alias("page_end"),
         F.col("slide").alias("slide_number"), pick("section"), pick("heading"), pick("heading_path"),
         "char_start", F.coalesce("b_char_end", "char_end").alias("char_end"),
         F.when(F.col("vision") & F.coalesce("b_vision", F.lit(True)), "vision").otherwise("text").alias("source"),
-    ).filter(F.col("text") != ""))
+        F.concat(of_part(F.col("members"), 0), of_part(F.col("b_members"), 1)).alias("members")))
+    used = made.select(F.col("document_id").alias("m_doc"), "chunk_index", F.inline("members"))
+    texts = rows.select(*DOC, F.col("order").cast("bigint").alias("order"), "parts", "document_name", "user_id").withColumnRenamed("order", "r_order")
+    spoken = used.join(texts, (F.col("m_doc") == F.col("document_id")) & (F.col("order") == F.col("r_order"))).select(
+        *DOC, "chunk_index", F.struct("part", "order", "piece", F.array_join(F.slice("parts", F.col("piece") + 1, F.col("pieces")), " ").alias("text")).alias("spoken"),
+        "document_name", "user_id")
+    joined = spoken.groupBy(*DOC, "chunk_index").agg(
+        t.strip(F.array_join(F.transform(F.array_sort(F.collect_list("spoken")), lambda x: x["text"]), " ")).alias("text"),
+        F.min_by("document_name", F.struct("spoken.part", "spoken.order")).alias("document_name"), F.min_by("user_id", F.struct("spoken.part", "spoken.order")).alias("user_id"))
+    return _finish(made.drop("members").join(joined, [*DOC, "chunk_index"]).filter(F.col("text") != "").select(
+        *DOC, "document_name", "user_id", "chunk_index", "text", "page_number", "page_end", "slide_number", "section", "heading", "heading_path", "char_start", "char_end", "source"))
 
 
 def _fold_small(groups: DataFrame, target: int, least: int) -> DataFrame:
@@ -319,7 +242,7 @@ def _fold_small(groups: DataFrame, target: int, least: int) -> DataFrame:
     goes once through the groups, pair by pair, so in a stretch of foldable groups every other
     one is taken up by the one before it.
     """
-    ordered = cut(with_position(groups, DOC, "at", "pos", width=_WIDE))
+    ordered = cut(with_position(groups, DOC, "at", "pos"))
     following = ordered.select(
         *[F.col(c).alias(f"next_{c}") for c in (*DOC, "at", "tokens", "heading_path")], (F.col("pos") - 1).alias("pos_before"))
     rows = ordered.join(following, (F.col("document_id") == F.col("next_document_id")) & (F.col("pos") == F.col("pos_before")), "left")

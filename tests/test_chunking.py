@@ -19,9 +19,9 @@ def tokens(text):
     return max(1, round(len(text) / 4)) if text else 0
 
 
-def make_document(rng, name):
+def make_document(rng, name, most=40):
     rows, page = [], 1
-    for order in range(rng.randint(3, 40)):
+    for order in range(rng.randint(3, most)):
         page += rng.random() < 0.2
         kind = rng.choices(["heading", "paragraph", "table", "figure"], [2, 6, 1, 2])[0]
         words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "of", "normal"]) for _ in range(n))
@@ -97,11 +97,17 @@ def by_the_rules(rows, target, overlap, least):
     return [(p, " ".join(x).strip()) for p, x in merged]
 
 
-def test_structural_chunks_follow_the_rules(spark):
+@pytest.mark.parametrize("stretch", [64, 2, 3])
+def test_structural_chunks_follow_the_rules(spark, stretch):
+    """Also where a run is many stretches: one has no heading, one is a single block, one has a piece longer than a stretch."""
     rng = random.Random(5)
     documents = {f"d{i}": make_document(rng, f"d{i}") for i in range(25)}
+    sentence = lambda n: " ".join(rng.choice(["alpha", "beta", "of"]) for _ in range(n)).capitalize() + "."
+    documents["long"] = [("long", k, "paragraph", None, 1, None, "text", " ".join(sentence(rng.randint(1, 14)) for _ in range(rng.randint(1, 9)))) for k in range(150)]
+    documents["one"] = [("one", 7, "paragraph", None, None, None, "text", " ".join(sentence(rng.choice([1, 9, 40])) for _ in range(200)))]
+    documents["wide"] = [("wide", k, "paragraph", None, None, None, "text", sentence(900 if k % 3 == 1 else 5)) for k in range(12)]
     blocks = spark.createDataFrame([r for rows in documents.values() for r in rows], SCHEMA)
-    got = ch.structural_chunks(blocks, 40, 12, 15).orderBy("document_id", "chunk_index").collect()
+    got = ch.structural_chunks(blocks, 40, 12, 15, stretch).orderBy("document_id", "chunk_index").collect()
     for name, rows in documents.items():
         mine = [(tuple(c.heading_path), c.text) for c in got if c.document_id == name]
         assert mine == by_the_rules(rows, 40, 12, 15), name
