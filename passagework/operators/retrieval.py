@@ -2,7 +2,7 @@
 
 Frames
   chunks   chunk_id, chunk_index, document_id, user_id, text, ...
-  postings chunk_id, chunk_index, document_id, user_id, term, term_idx, tf, weight
+  postings chunk_id, chunk_index, document_id, user_id, n_terms, term, term_idx, tf, weight
   dense    chunk_id, chunk_index, document_id, user_id, vector
   queries  query_id, text and/or vector; optional user_id, document_ids (null = all, [] = none)
   ranked   query_id, chunk_id, chunk_index, score, rank
@@ -30,6 +30,10 @@ QUERY_BYTES = 64 << 20
 TILE = (512, 4096)
 # Chunks whose postings leave a task together; distinct words a task remembers.
 POSTED_ROWS, KNOWN_WORDS = 500, 500_000
+# Chunks of about the same number of terms that share a largest weight; blocks of sizes an eighth of a doubling apart.
+BLOCK, SIZES = 32, 8
+# Rare terms of a question, scored first, have about this share of all its postings.
+RARE = 0.2
 # Scores are compared after rounding, so that ranks do not depend on summation order.
 DIGITS = 9
 SCOPE = ("user_id", "document_ids")
@@ -48,7 +52,7 @@ def _counted(stem: bool):
         for batch in batches:
             for start in range(0, batch.num_rows, POSTED_ROWS):
                 part = batch.slice(start, POSTED_ROWS)
-                rows, made, times = [], [], []
+                rows, made, times, sizes = [], [], [], []
                 for row, text in enumerate(part.column("__text").to_pylist()):
                     counts: dict[tuple[str, int], int] = {}
                     for word, n in Counter(sparse.found(text)).items():
@@ -62,18 +66,19 @@ def _counted(stem: bool):
                     rows += [row] * len(counts)
                     made += counts
                     times += counts.values()
+                    sizes += [len(counts)] * len(counts)
                 place = part.drop_columns(["__text"]).take(pa.array(rows, pa.int64()))
                 yield pa.record_batch(
-                    [*place.columns, pa.array([t for t, _ in made], pa.string()), pa.array(times, pa.int64()), pa.array([i for _, i in made], pa.int64())],
-                    names=[*place.schema.names, "term", "tf", "term_idx"])
+                    [*place.columns, pa.array(sizes, pa.int64()), pa.array([t for t, _ in made], pa.string()), pa.array(times, pa.int64()), pa.array([i for _, i in made], pa.int64())],
+                    names=[*place.schema.names, "n_terms", "term", "tf", "term_idx"])
     return run
 
 
 def postings(chunks: DataFrame, text: Column | str = "text", stem: bool = True) -> DataFrame:
-    """One row per chunk and term, with the saturated term weight. Nothing is shuffled."""
+    """One row per chunk and term, with the saturated term weight and the chunk's number of terms. Nothing is shuffled."""
     place = [c for c in ("chunk_id", "chunk_index", "document_id", "user_id") if c in chunks.columns]
     rows = chunks.select(*place, F.coalesce(col(text), F.lit("")).alias("__text"))
-    schema = T.StructType([*(chunks.schema[c] for c in place), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("term_idx", T.LongType())])
+    schema = T.StructType([*(chunks.schema[c] for c in place), T.StructField("n_terms", T.LongType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("term_idx", T.LongType())])
     return rows.mapInArrow(_counted(stem), schema).withColumn("weight", sparse.saturate("tf"))
 
 
@@ -102,19 +107,73 @@ def _in_scope(queries: DataFrame, corpus: DataFrame) -> Column:
     return cond
 
 
+def with_blocks(rows: DataFrame, posted: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Adds `block` to some of the postings: about `size` chunks with nearly the same number of terms.
+
+    Long chunks hold every common term and short ones few, so largest weights bound the scores of such a block far better
+    than those of any chunks. How many blocks a class of sizes gets is read off sums; there are a few hundred classes at most.
+    """
+    kind = F.floor(F.log2("n_terms") * SIZES).cast("int")
+    counts = {r[0]: r[1] for r in posted.groupBy(kind.alias("kind")).agg(F.sum(1 / F.col("n_terms")).alias("n")).collect()}
+    parts = [max(1, round(counts.get(k, 0) / size)) for k in range(max(counts, default=0) + 1)]
+    part = F.pmod(F.xxhash64("chunk_id", "chunk_index"), F.get(F.array(*map(F.lit, parts)), kind).cast("bigint"))
+    return rows.withColumn("block", F.shiftleft(kind.cast("bigint"), 40) + part)
+
+
+def block_maxima(posted: DataFrame) -> DataFrame:
+    """(term_idx, block, most): the largest weight of each term in each block."""
+    return posted.groupBy("term_idx", "block").agg(F.max("weight").alias("most"))
+
+
 def sparse_search(queries: DataFrame, posted: DataFrame, chunks: DataFrame, k: int = 50,
-                  stem: bool = True) -> DataFrame:
+                  stem: bool = True, rare: float = RARE) -> DataFrame:
     """BM25: sum of weight x idf over shared terms; a chunk sharing none is not returned.
 
-    Only postings of asked terms are counted or scored. The join has no hint: the asked terms
-    become a broadcast when small, and AQE splits a term found in much of the corpus otherwise.
+    Only postings of asked terms are read, and most of those of common terms are not scored. A question's rare terms (its
+    least frequent ones, with about a share `rare` of its postings) are scored first. The k chunks that are best so far get their
+    whole scores, and the least of these is a score that k chunks reach. What common terms can add to a chunk is at most the sum of
+    their largest weights in its block: where that cannot lift a chunk to the k-th score, its common terms are not looked up, and
+    where it cannot lift a chunk without rare terms, the block is not scored. Results are those of scoring everything.
+
+    Joins have no hints: small sides become broadcasts, and AQE splits a term found in much of the corpus otherwise.
     """
-    asked = query_terms(queries, stem)
-    wanted = posted.join(asked.select("term_idx").distinct(), "term_idx", "left_semi")
-    weighted = asked.join(document_frequency(wanted, chunks), "term_idx")
-    hits = posted.join(weighted, (posted["term_idx"] == weighted["term_idx"]) & _in_scope(weighted, posted))
-    scores = hits.groupBy(weighted["query_id"], posted["chunk_id"], posted["chunk_index"]).agg(
-        F.round(F.sum(F.col("weight") * F.col("idf")), DIGITS).alias("score")
+    asked = cut(query_terms(queries, stem))
+    place = [c for c in ("chunk_id", "chunk_index", "document_id", "user_id") if c in posted.columns]
+    wanted = posted.select(*place, "n_terms", "term_idx", "weight").join(asked.select("term_idx").distinct(), "term_idx", "left_semi")
+    wanted = cut(with_blocks(wanted, posted).drop("n_terms"))
+    in_order = Window.partitionBy("query_id").orderBy("df", "term_idx")
+    weighted = cut(asked.join(document_frequency(wanted, chunks), "term_idx").withColumn(
+        "rare", F.sum("df").over(in_order) - F.col("df") <= rare * F.sum("df").over(Window.partitionBy("query_id"))))
+    chunk = ["query_id", "chunk_id", "chunk_index"]
+
+    def hits(terms: DataFrame, rows: DataFrame, *also: str) -> DataFrame:
+        same = (rows["term_idx"] == terms["term_idx"]) & _in_scope(terms, rows)
+        for c in also:
+            same = same & rows[c].eqNullSafe(terms[c])
+        return rows.join(terms, same).select(terms["query_id"], rows["chunk_id"], rows["chunk_index"], rows["block"], (F.col("weight") * F.col("idf")).alias("score"))
+
+    common = weighted.filter(~F.col("rare"))
+    partial = cut(hits(weighted.filter("rare"), wanted).groupBy(*chunk, "block").agg(F.sum("score").alias("part")))
+
+    def looked_up(pairs: DataFrame) -> DataFrame:
+        """Common terms' shares of the scores of (query_id, chunk_id, chunk_index)."""
+        return hits(common.join(pairs.select(*chunk), "query_id"), wanted, "chunk_id", "chunk_index").select(*chunk, "score")
+
+    first = cut(top_k(partial.withColumnRenamed("part", "score"), k).select(*chunk, "score"))
+    whole = looked_up(first).unionByName(first).groupBy(*chunk).agg(F.sum("score").alias("score"))
+    # Sums of other orders differ in their last digits.
+    reached = whole.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score") - 10.0 ** -DIGITS * 10).alias("least"))
+    bounds = common.join(block_maxima(wanted), "term_idx").groupBy("query_id", "block").agg(F.sum(F.col("most") * F.col("idf")).alias("more"))
+    bounds = cut(bounds.join(reached, "query_id", "left").select("query_id", "block", "more", F.coalesce("least", F.lit(-1.0)).alias("least")))
+    open_blocks = bounds.filter("more >= least").select("query_id", F.col("block").alias("b"))
+    tried = partial.join(bounds, ["query_id", "block"], "left").join(reached.withColumnRenamed("least", "least_q"), "query_id", "left").filter(
+        F.col("part") + F.coalesce("more", F.lit(0.0)) >= F.coalesce("least_q", F.lit(-1.0)))
+    tried = cut(tried.select(*chunk, F.col("part").alias("score"), F.coalesce(F.col("more") >= F.col("least"), F.lit(False)).alias("open")))
+    in_open = common.join(open_blocks, "query_id").withColumnRenamed("b", "block")
+    scores = (
+        tried.select(*chunk, "score").unionByName(looked_up(tried.filter(~F.col("open"))))
+        .unionByName(hits(in_open, wanted, "block").select(*chunk, "score"))
+        .groupBy(*chunk).agg(F.round(F.sum("score"), DIGITS).alias("score"))
     )
     return top_k(scores, k)
 
