@@ -180,16 +180,26 @@ def _ranked_passages(spark, sf, k=10):
     return cut(found.join(docs.select("chunk_id", "document_id", "text"), "chunk_id"))
 
 
-@check("near_duplicates", f"""WITH {sql.SPARSE},
-    {sql.GRAMS}, sh AS (SELECT s.query_id, s.rank, g FROM sparse s JOIN grams ON doc_id = chunk_id WHERE s.rank <= 10),
+def _overlapping(depth: int, least: str) -> str:
+    return f"""WITH {sql.SPARSE.replace("rank <= 50", "rank <= 200")},
+    {sql.GRAMS}, sh AS (SELECT s.query_id, s.rank, g FROM sparse s JOIN grams ON doc_id = chunk_id WHERE s.rank <= {depth}),
     z AS (SELECT query_id, rank, count(*) AS n FROM sh GROUP BY ALL),
     o AS (SELECT a.query_id, a.rank, b.rank AS later, count(*) AS shared FROM sh a JOIN sh b ON a.query_id = b.query_id AND a.g = b.g AND a.rank < b.rank GROUP BY ALL)
     SELECT o.query_id, o.rank, later, round(shared / least(x.n, y.n), 6) AS overlap FROM o JOIN z x ON x.query_id = o.query_id AND x.rank = o.rank JOIN z y ON y.query_id = o.query_id AND y.rank = later
-    WHERE shared / least(x.n, y.n) >= 0.85""")
+    WHERE shared / least(x.n, y.n) >= {least}"""
+
+
+@check("near_duplicates", _overlapping(10, "0.85"))
 def near_duplicates(spark, sf):
     return cx.near_duplicates(_ranked_passages(spark, sf)).withColumn("overlap", F.round("overlap", 6))
 
 
+@check("near_duplicates_deep", _overlapping(200, "0.5"))
+def near_duplicates_deep(spark, sf):
+    """Rankings of 200 passages, and a looser overlap."""
+    return cx.near_duplicates(_ranked_passages(spark, sf, 200), 0.5).withColumn("overlap", F.round("overlap", 6))
+
+
 def _citable(spark, sf, k=10):
     named = table(spark, sf, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_name"), F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("int").alias("page_end"),

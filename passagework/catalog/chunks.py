@@ -11,6 +11,7 @@ from passagework.functions import text as t
 from passagework.functions.stemming import stem_all
 from passagework.functions.sparse import terms
 from passagework.operators import chunking as ch
+from passagework.session import cut
 
 QUERIES, ORACLES = {}, {}
 
@@ -199,6 +200,18 @@ def shingles(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(c.shingles("text")).cast("bigint").alias("shingles"))
 
 
+@check("passage_overlap", f"""WITH {sql.GRAMS}, d AS (SELECT doc_id, list(g) AS gs FROM grams GROUP BY 1),
+    {sql.GRAMS.replace("grams AS", "asked_grams AS").replace("tw", "bw").replace("tg", "bg").replace("documents", "benchmark").replace("doc_id", "item_id")}, b AS (SELECT item_id, list(g) AS gs FROM asked_grams GROUP BY 1)
+    SELECT item_id, doc_id, round(len(list_intersect(b.gs, d.gs)) / least(len(b.gs), len(d.gs)), 6) AS overlap FROM b, d WHERE list_has_any(b.gs, d.gs)""")
+def passage_overlap(spark, sf):
+    """How much of a passage a document holds, for all that share a run of words; met by that run."""
+    runs = lambda name, key: table(spark, sf, name).select(key, c.shingles("text").alias("runs"))
+    docs, asked = cut(runs("documents", "doc_id")), cut(runs("benchmark", "item_id"))
+    met = docs.select("doc_id", F.explode("runs").alias("run")).join(asked.select("item_id", F.explode("runs").alias("run")), "run").select("item_id", "doc_id").distinct()
+    both = met.join(docs, "doc_id").join(asked.withColumnRenamed("runs", "asked"), "item_id")
+    return both.select("item_id", "doc_id", F.round(c.overlap_coefficient("asked", "runs"), 6).alias("overlap"))
+
+
 @check("stemmed_terms")
 def stemmed_terms(spark, sf):
     return table(spark, sf, "documents").select(F.explode(terms("text", stem=False)).alias("term")).groupBy("term").count().select(

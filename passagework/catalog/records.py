@@ -14,6 +14,7 @@ from passagework.sources import chunks as sc
 from passagework.sources import gold as sg
 from passagework.sources import traces as st
 from passagework.sources import uploads as su
+from passagework.session import work_dir
 
 QUERIES, ORACLES = {}, {}
 NOW = "2024-02-01 00:00:00"
@@ -233,13 +234,17 @@ def scan_chunks(spark, sf):
     labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "document_id")
     owners = docs.join(labels.filter("toxic = 1").select("document_id"), "document_id", "left_semi").select("user_id").distinct()
     scopes = docs.join(labels.select("document_id"), "document_id", "left_semi").join(owners, "user_id", "left_semi").select("user_id", "document_id")
-    return sc.scope_by_table(docs, scopes)
+    path = work_dir(spark)
+    sc.save_chunks(docs.withColumn("chunk_id", F.col("document_id")), path, 16)
+    return sc.scope_saved(spark, path, scopes).drop("chunk_id")
 
 
 @check("scan_one_owner", "SELECT doc_id AS document_id, source AS user_id, 0 AS chunk_index, length(text) AS chars FROM documents WHERE source = 'src3'")
 def scan_one_owner(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("document_id"), F.col("source").alias("user_id"), F.lit(0).alias("chunk_index"), F.length("text").alias("chars"))
-    return sc.scan_chunks(docs, "src3")
+    path = work_dir(spark)
+    sc.save_chunks(docs.withColumn("chunk_id", F.col("document_id")), path, 16)
+    return sc.scan_saved(spark, path, "src3").drop("chunk_id")
 
 
 REVISED = LINES + """,
@@ -337,3 +342,37 @@ def dedupe_uploads(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("session_id"), F.sha2("text", 256).alias("content_hash"))
     held = docs.join(table(spark, sf, "labels"), "doc_id").select("session_id", "content_hash", F.col("doc_id").alias("document_id"), F.when(F.col("toxic") == 1, "failed").otherwise("ready").alias("status"))
     return su.dedupe_uploads(docs, held).select("doc_id", "existing_id", "action")
+
+
+@check("gold_round_trip", """SELECT substr(sha256(text), 1, 16) AS query_id, text AS question, item_id::VARCHAR AS relevant, CASE WHEN item_id % 3 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS gain,
+    CASE WHEN item_id % 2 = 0 THEN 'even' ELSE '' END AS note FROM benchmark""")
+def gold_round_trip(spark, sf):
+    """Passages written as gold questions, read back and laid out as gains."""
+    item = F.col("item_id").cast("string")
+    path = work_dir(spark)
+    sg.write_gold(table(spark, sf, "benchmark").select(
+        F.col("text").alias("question"), F.array(item, item).alias("relevant_chunk_ids"), F.when(F.col("item_id") % 3 == 0, F.create_map(item, F.lit(0.5))).alias("graded"),
+        F.array().cast("array<string>").alias("document_ids"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("").alias("note")), path)
+    gold = sg.read_gold(spark, path)
+    gains = sg.qrels_of(gold).withColumnRenamed("chunk_id", "relevant")
+    return gains.join(gold.select("query_id", "question", "note"), "query_id").select("query_id", "question", "relevant", "gain", "note")
+
+
+@check("gold_line_numbers", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents WHERE source = 'src3')
+    SELECT doc_id, line, sha256(raw) AS raw FROM l""")
+def gold_line_numbers(spark, sf):
+    """Texts of one source as files of lines, one folder a document, numbered again."""
+    path = work_dir(spark)
+    table(spark, sf, "documents").filter("source = 'src3'").select("doc_id", "text").write.mode("overwrite").partitionBy("doc_id").option("lineSep", "\n").text(path)
+    lines = sg.numbered_lines(spark, f"{path}/*")
+    return lines.select(F.regexp_extract("file", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"), "line", F.sha2("raw", 256).alias("raw"))
+
+
+@check("read_uploads", """WITH f AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN '%PDF-' ELSE '' END || text || chr(10) AS content FROM benchmark)
+    SELECT item_id, strlen(content) AS length, CASE WHEN item_id % 3 = 0 THEN 'pdf' END AS kind, sha256(content) AS content_hash FROM f""")
+def read_uploads(spark, sf):
+    """Passages written as files, a third of them marked as PDF, and taken in as uploads."""
+    path = work_dir(spark)
+    marked = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("%PDF-"), "text")).otherwise(F.col("text"))
+    table(spark, sf, "benchmark").select("item_id", marked.alias("value")).write.mode("overwrite").partitionBy("item_id").text(path)
+    return su.read_uploads(spark, f"{path}/*/*.txt").select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"), "length", "kind", "content_hash")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagework.functions.sequence import numbered
 from passagework.operators.evaluation import REPORTED, paired_differences
 
 RESAMPLES = 10_000
@@ -22,10 +23,11 @@ def paired_bootstrap(differences: DataFrame, resamples: int = RESAMPLES, seed: i
     """Per pair: two-sided p, and the 95 % interval of the mean difference.
 
     Draws are made once per sample size and joined to the differences by place, so the work is
-    resamples x n rows spread over the cluster; nothing is gathered.
+    resamples x n rows spread over the cluster; nothing is gathered. Places come from one range sort of all pairs.
     """
-    w = Window.partitionBy(*PAIR).orderBy("query_id")
-    placed = differences.select(*PAIR, "n", "difference", (F.row_number().over(w) - 1).cast("bigint").alias("place"))
+    sorted_rows = numbered(differences.select(*PAIR, "query_id", "n", "difference"), [*PAIR, "query_id"], "at")
+    first = sorted_rows.groupBy(*PAIR).agg(F.min("at").alias("first"))
+    placed = sorted_rows.join(first, PAIR).select(*PAIR, "n", "difference", (F.col("at") - F.col("first")).alias("place"))
     upto = lambda last: F.explode(F.sequence(F.lit(0).cast("bigint"), last))
     drawn = (
         placed.select("n").distinct()  # run sizes: at most strategies x metrics

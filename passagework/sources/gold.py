@@ -2,32 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.text import let, strip
+from passagework.session import cut
 
 GOLD_SCHEMA = "question string, relevant_chunk_ids array<string>, graded map<string,double>, document_ids array<string>, note string"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, raw): the lines of text files with their numbers from 1, however the files are split over tasks.
+
+    A task numbers the lines of its splits; one row per split carries the counts across, by file and place of the split in it.
+    """
+    read = spark.read.text(path, lineSep="\n")
+    rows = cut(read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                           F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw")))
+    splits = rows.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    # One row per split of a file.
+    upto = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select("file", "split", "first", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    return rows.join(before, ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "raw")
+
+
+def _entries(lines: DataFrame) -> DataFrame:
+    """Lines that are neither blank nor comments, parsed."""
+    lines = lines.withColumn("raw", strip("raw")).filter((F.col("raw") != "") & ~F.startswith("raw", F.lit("//")))
+    return lines.withColumn("entry", F.from_json("raw", GOLD_SCHEMA, {"mode": "PERMISSIVE"}))
+
+
+_BAD = "entry.question is null or entry.relevant_chunk_ids is null"
+
+
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """Gold questions from JSON lines; blank lines and `//` comments are skipped.
 
-    A bad line fails the read, naming file and line; so does a set with no question.
+    A bad line fails the read, naming file and line; so does a set with no question. Files are read in splits; lines are
+    numbered only where one is bad.
     """
-    # Whole files, so that lines keep their number; a gold file is written by hand.
-    lines = (
-        spark.read.text(path, wholetext=True)
-        .select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "raw"))
-        .select("file", (F.col("line") + 1).alias("line"), strip("raw").alias("raw"))
-        .filter((F.col("raw") != "") & ~F.startswith("raw", F.lit("//")))
-    )
-    parsed = lines.withColumn("entry", F.from_json("raw", GOLD_SCHEMA, {"mode": "PERMISSIVE"}))
-    bad = parsed.filter(F.col("entry.question").isNull() | F.col("entry.relevant_chunk_ids").isNull())
-    first = bad.orderBy("file", "line").select("file", "line").head()
-    if first:
+    parsed = _entries(spark.read.text(path, lineSep="\n").withColumnRenamed("value", "raw"))
+    found, bad = parsed.agg(F.count("*"), F.count_if(F.expr(_BAD))).first()
+    if bad:
+        first = _entries(numbered_lines(spark, path)).filter(_BAD).orderBy("file", "line").select("file", "line").first()
         raise ValueError(f"{first['file']}:{first['line']} is not a valid gold entry")
-    if parsed.isEmpty():
+    if not found:
         raise ValueError(f"{path} contained no gold queries")
     return parsed.select(
         F.substring(F.sha2("entry.question", 256), 1, 16).alias("query_id"), "entry.question",

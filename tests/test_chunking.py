@@ -1,5 +1,6 @@
 """The chunkers against a plain reading of their rules, one document at a time."""
 
+import math
 import os
 import random
 import uuid
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions.sequence import carried, exact_percentiles, upper_median, with_position
 from passagework.operators import chunking as ch
-from passagework.sources.chunks import cached_embed, delete_from, load_chunks, merge_into, save_chunks, upsert_summary
+from passagework.sources.chunks import cached_embed, delete_from, load_chunks, merge_into, save_chunks, scan_saved, scope_saved, upsert_summary
 from passagework.session import work_dir
 
 SCHEMA = "document_id string, order int, type string, level int, page int, slide int, source string, text string"
@@ -153,6 +154,40 @@ def test_a_bucket_left_empty_goes(spark):
     assert {r[0] for r in load_chunks(spark, path).select("document_id").collect()} == {f"d{i}" for i in range(12)} - {"d1"}
 
 
+def test_a_scoped_read_opens_its_owners_folders(spark):
+    path = work_dir(spark)
+    rows = spark.range(4000).selectExpr("id % 400 as document_id", "concat('u', id % 40) as user_id", "id as chunk_id", "cast(id div 400 as int) as chunk_index")
+    save_chunks(rows, path, 8)
+
+    def read(df):
+        """Rows and files that the scan of the table reads."""
+        plan = df._jdf.queryExecution()
+        n, todo = df._jdf.collectAsList().size(), [plan.executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName().startswith("AdaptiveSparkPlan"):
+                todo.append(node.executedPlan())
+            elif "QueryStage" in node.nodeName():
+                todo.append(node.plan())
+            elif node.nodeName().startswith("Scan parquet"):
+                return n, node.metrics().apply("numPartitions").value()
+            else:
+                todo += [node.children().apply(k) for k in range(node.children().size())]
+
+    folders = sum(len(os.listdir(f"{path}/buckets=8/owners=16/{o}")) for o in os.listdir(f"{path}/buckets=8/owners=16") if o.startswith("owner="))
+    n, opened = read(scan_saved(spark, path, "u3"))
+    assert n == 100 and opened <= 8 < folders
+    n, opened = read(scan_saved(spark, path, "u3", [3, 43, 4]))
+    assert n == 20 and opened <= 3
+    assert scan_saved(spark, path, "u3", []).count() == scan_saved(spark, path, "nobody").count() == 0
+    n, opened = read(scope_saved(spark, path, spark.createDataFrame([("u3", 3), ("u7", 7), ("u7", 8)], "user_id string, document_id long")))
+    assert n == 20 and opened <= 16
+    # A document that comes again under another owner leaves its old folder.
+    merge_into(spark, path, spark.createDataFrame([(3, "u9", 1, 0)], rows.schema))
+    assert scan_saved(spark, path, "u3", [3]).count() == 0 and scan_saved(spark, path, "u9", [3]).count() == 1
+    assert load_chunks(spark, path).count() == 3991
+
+
 def test_each_missing_text_is_embedded_once(spark):
     log = work_dir(spark)
     os.makedirs(log, exist_ok=True)
@@ -194,6 +229,14 @@ def test_sequences_with_one_huge_group(spark):
 def test_percentiles_and_medians(spark):
     values = [5, 1, 9, 3, 3, 8, 2, 7, 6, 4]
     df = spark.createDataFrame([("g", v) for v in values] + [("h", None)], "g string, v int")
+    rng = random.Random(8)
+    many = [(g, rng.choice([rng.lognormvariate(0, 4), -1.5, 1e300, float(rng.randrange(40))])) for g in ("a", None) for _ in range(700)] + [("one", 2.0)] * 5 + [("b", None)]
+    ordered = {g: sorted(v for h, v in many if h == g) for g in ("a", None, "one")}
+    want = sorted(((g, *(x[max(math.ceil(p * len(x)) - 1, 0)] for p in (0.0, 0.31, 0.95, 1.0))) for g, x in ordered.items()), key=str)
+    wide = spark.createDataFrame(many, "g string, v double")
+    for listed in (1024, 10, 1):
+        got = exact_percentiles(wide, ["g"], "v", {"a": 0.0, "b": 0.31, "c": 0.95, "d": 1.0}, listed).collect()
+        assert sorted((tuple(x) for x in got), key=str) == want, listed
     p = exact_percentiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}).collect()
     assert [(x.g, x.p50, x.p95) for x in p] == [("g", 4, 9)]
     assert upper_median(df, ["g"], "v", "m").collect()[0].m == 5

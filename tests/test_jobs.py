@@ -228,3 +228,21 @@ def test_reading_blocks(spark):
     df = spark.createDataFrame(rows, "document_id string, order int, page int, slide int, content_hash string, whole_page boolean, reading string")
     got = [(x.order, x.type, x.level, x.text) for x in im.reading_blocks(df).orderBy("order", "part").collect()]
     assert got == [(1, "figure", None, "intro"), (1, "heading", 2, "2.1 Scope"), (1, "figure", None, "body\nTable 1.3\nrow"), (1, "heading", 2, "Notes"), (2, "figure", None, "Title\nrow")]
+
+
+def test_lines_keep_their_numbers_over_splits(spark, tmp_path):
+    """Files cut into splits of few bytes, with lines ended by CR LF, blank and last lines without an end."""
+    files = {"a.txt": "\n".join(f"line {k} " + "x" * (k % 40) for k in range(400)), "b.txt": "\r\n".join(["one", "", "three", "four"]), "c.txt": "", "d.txt": "only\n"}
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        read = sg.numbered_lines(spark, str(tmp_path))
+        got = {(r.file.rsplit("/", 1)[1], r.line, r.raw.rstrip("\r")) for r in read.collect()}
+        (tmp_path / "z.txt").write_text("\n".join(['{"question": "q", "relevant_chunk_ids": ["a"]}'] * 57 + ["// fine", "", "{broken"] + ["{worse"] * 9))
+        with pytest.raises(ValueError, match=r"z\.txt:60 is not"):
+            sg.read_gold(spark, str(tmp_path / "z.txt"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(name, k, line) for name, text in files.items() for k, line in enumerate(text.replace("\r", "").removesuffix("\n").split("\n") if text else [], 1)}
