@@ -35,8 +35,8 @@ def ranked_by_strategy(queries: DataFrame, index: Index, strategies: Sequence[st
     """All strategies' rankings side by side.
 
     Each half is searched once, at the depth of the widest user, and written out; every
-    strategy then reads the part it needs. With a dict `failed`, each strategy is run by itself: one that fails
-    is noted there and left out, the others stay.
+    strategy then reads the part it needs. With a dict `failed`, a half or a strategy that fails is noted there for the strategies
+    that need it, which are left out; the others stay. It is an error if none is left.
     """
     unknown = set(strategies) - set(STRATEGIES)
     if unknown:
@@ -44,37 +44,48 @@ def ranked_by_strategy(queries: DataFrame, index: Index, strategies: Sequence[st
     hybrid = {"hybrid", "hybrid_rerank"} & set(strategies)
     width = max(depth, k) if hybrid else k
     key = ["query_id", "chunk_id", "chunk_index", "score", "rank"]
-    halves: dict[str, DataFrame] = {}
+    broken: dict[str, str] = {}
+
+    def attempt(name: str, make) -> DataFrame | None:
+        """A written frame, or None and a note where it fails and failures are to be listed."""
+        try:
+            return cut(make())
+        except Exception as problem:  # noqa: BLE001
+            if failed is None:
+                raise
+            broken[name] = str(problem)[:4000]
+            return None
+
+    # Each half is made by itself: one that fails takes along only the strategies that read it.
+    halves: dict[str, DataFrame | None] = {}
     if hybrid or "dense" in strategies:
-        halves["dense"] = cut(dense_search(queries, index.dense, width))
+        halves["dense"] = attempt("dense", lambda: dense_search(queries, index.dense, width))
     if hybrid or "bm25" in strategies:
-        halves["sparse"] = cut(sparse_search(queries, index.postings, index.chunks, width, stem))
-    result = None
+        halves["sparse"] = attempt("sparse", lambda: sparse_search(queries, index.postings, index.chunks, width, stem))
+    reads = {"dense": ["dense"], "bm25": ["sparse"]}
     fused = None
-    if hybrid:
+    if hybrid and not broken:
         lists = {name: half.filter(F.col("rank") <= depth) for name, half in halves.items()}
-        fused = cut(rrf(lists, limit=max(candidates, k)))
+        fused = attempt("fused", lambda: rrf(lists, limit=max(candidates, k)))
+    result = None
     for name in strategies:
-        if name in ("dense", "bm25"):
-            part = halves["dense" if name == "dense" else "sparse"].filter(F.col("rank") <= k)
+        lost = [broken[x] for x in reads.get(name, ["dense", "sparse", "fused"]) if x in broken]
+        if lost:
+            failed[name] = lost[0]
+            continue
+        if name in reads:
+            part = halves[reads[name][0]].filter(F.col("rank") <= k)
         elif name == "hybrid_rerank" and scorer is not None:
-            try:
-                part = rerank(queries, fused, index.chunks, scorer, k)
-            except Exception as problem:  # noqa: BLE001
-                if failed is None:
-                    raise
-                failed[name] = str(problem)[:4000]
+            part = attempt(name, lambda: rerank(queries, fused, index.chunks, scorer, k))
+            if part is None:
+                failed[name] = broken[name]
                 continue
         else:
             part = fused.filter(F.col("rank") <= k)
         part = part.select(*key).withColumn("strategy", F.lit(name))
-        if failed is not None:
-            try:
-                part = cut(part)
-            except Exception as problem:  # noqa: BLE001
-                failed[name] = str(problem)[:4000]
-                continue
         result = part if result is None else result.unionByName(part)
+    if result is None:
+        raise ValueError(f"every strategy failed: {failed}")
     return result
 
 

@@ -9,7 +9,7 @@ from passagework import hooks
 from passagework.operators import evaluation as ev
 from passagework.operators import retrieval as r
 from passagework.operators import significance as sg
-from passagework.plans.evaluate import evaluate
+from passagework.plans.evaluate import evaluate, ranked_by_strategy
 from passagework.plans.retrieve import Index, retrieve
 from passagework.functions import sparse
 from passagework.functions.vectors import hashed_embedding
@@ -148,3 +148,45 @@ def test_postings_are_the_terms_of_a_chunk(spark, stem):
     got = sorted((x.chunk_id, x.term, x.tf, x.term_idx) for x in r.postings(chunks, stem=stem).collect())
     rows = chunks.select("chunk_id", F.explode(sparse.terms("text", stem)).alias("term")).groupBy("chunk_id", "term").count().withColumn("i", sparse.term_index("term"))
     assert got == sorted(tuple(x) for x in rows.collect())
+
+
+def test_a_failing_half_takes_only_its_own(spark):
+    chunks = spark.createDataFrame([(f"c{i}", i, "d", "u", f"word{i} common text") for i in range(6)], "chunk_id string, chunk_index int, document_id string, user_id string, text string")
+    index = Index(chunks, chunks.withColumn("vector", hashed_embedding(32)("text")).drop("text"), r.postings(chunks))
+    q = spark.createDataFrame([(1, "word3 common", "u")], "query_id int, text string, user_id string").withColumn("vector", hashed_embedding(64)("text"))
+    failed = {}
+    left = ranked_by_strategy(q, index, ["dense", "bm25", "hybrid"], 3, failed=failed).collect()
+    assert {x.strategy for x in left} == {"bm25"} and [x.chunk_id for x in left if x["rank"] == 1] == ["c3"]
+    assert set(failed) == {"dense", "hybrid"} and "width" in failed["dense"]
+    with pytest.raises(Exception, match="width"):
+        ranked_by_strategy(q, index, ["dense", "bm25"], 3)
+    with pytest.raises(ValueError, match="every strategy failed"):
+        ranked_by_strategy(q, index, ["dense"], 3, failed={})
+
+
+@pytest.mark.parametrize(("rare", "k", "size"), [(0.2, 5, 32), (0.0, 3, 2), (0.6, 50, 8), (1.0, 5, 32)])
+def test_bounded_search_is_the_whole_search(spark, monkeypatch, rare, k, size):
+    """Texts of very different lengths, words of very different frequencies, ties, and questions in scopes of their own."""
+    rng = random.Random(12)
+    words = [f"w{n}" for n in range(120)]
+    often = [1 / (n + 1) for n in range(120)]
+    rows = [(i, i % 3, f"d{i % 9}", f"u{i % 2}", " ".join(rng.choices(words, often, k=rng.choice([1, 4, 30, 400])))) for i in range(300)]
+    rows += [(300 + i, 0, "d1", "u1", rows[7][4]) for i in range(40)] + [(999, 0, "d2", "u0", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, chunk_index int, document_id string, user_id string, text string")
+    asked = [(q, " ".join(rng.choices(words, k=rng.randint(1, 25)) + ["w0", "unheard"]), f"u{q % 2}", None if q % 3 else ["d1", "d5"]) for q in range(12)] + [(50, "", "u0", None), (51, "unheard", "u1", None)]
+    queries = spark.createDataFrame(asked, "query_id int, text string, user_id string, document_ids array<string>")
+    plain = r.with_blocks
+    monkeypatch.setattr(r, "with_blocks", lambda rows, posted: plain(rows, posted, size))
+    got = {(x.query_id, x.chunk_id, x["rank"], round(x.score, 6)) for x in r.sparse_search(queries, r.postings(chunks, stem=False), chunks, k, stem=False, rare=rare).collect()}
+    counts = [(c, {w: c[4].split().count(w) for w in set(c[4].split())} if c[4] else {}) for c in rows]
+    df = {w: sum(w in n for _, n in counts) for w in words}
+    want = set()
+    for q, text, user, ids in asked:
+        found = []
+        for c, n in counts:
+            held = set(text.split()) & set(n)
+            if held and c[3] == user and (ids is None or c[2] in ids):
+                score = sum(n[w] * 2.5 / (n[w] + 1.5) * math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) for w in held)
+                found.append((-round(score, 9), c[1], c[0]))
+        want |= {(q, i, place, round(-s, 6)) for place, (s, _, i) in enumerate(sorted(found)[:k], 1)}
+    assert got == want
