@@ -59,7 +59,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1
 def _dealt(docs: DataFrame, doc_id: str, source: str, text: str, weights: Sequence[int], share: float, cap: float) -> DataFrame:
     """The documents without texts, each with its place in its source (`at`), the words asked of the source, taken and copies."""
     hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("bigint")
-    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(whole(text), F.lit(WORD)).cast("bigint").alias("size"), hashed.alias("hash")))
+    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(whole(text), F.lit(WORD)).cast("bigint").alias("size"), hashed.alias("hash"), F.xxhash64(whole(text)).alias("mark")))
     by_source = targets(sized, weights, share, cap)
     ordered = cut(ranked(sized, [F.col("source").asc_nulls_last(), "hash", F.col("doc_id"), F.col("size")], {"before": F.col("size")}))
     starts = ordered.groupBy("source").agg(F.min("before").alias("start")).withColumnRenamed("source", "s_source")
@@ -107,14 +107,36 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sour
     """The mix as documents with all columns, whole, each as often as `copies` says, range-sorted by the training
     position of each copy; documents not taken go.
 
-    The copy of round r is due when its source has been asked for r whole rounds and the words before the document.
+    The copy of round r is due when its source has been asked for r whole rounds and the words before the document. Each row gets
+    the copies dealt to it: rows are met by id, source and a hash of the text. Rows that share all three (a row ingested
+    several times, or copies without ids) are numbered, by one range sort on either side, and each takes the deal of its number.
+
+    Null text has no words and is never taken, null source is a source of its own, null ids and repeated ids are documents of their
+    own. Copies due at the same time follow by id. An empty table gives no rows; clashing extra columns pass through.
     """
-    turns = F.sequence(F.lit(0), F.col("copies") - 1)
-    wanted = _dealt(docs, doc_id, source, text, weights, share, cap).filter("copies > 0").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
-        F.struct("copies", F.transform(turns, lambda r: _position(r, schedules)).alias("due")).alias("__deal"))
-    # Rows that repeat an id, a source and a size would meet each other: keep one decision for each, the larger.
-    wanted = wanted.groupBy("__id", "__source", "__size").agg(F.max("__deal").alias("__deal"))
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.regexp_count(whole(text), F.lit(WORD)) == F.col("__size"))
-    copies = docs.join(wanted, same).withColumn("__due", F.explode("__deal.due"))
-    return copies.orderBy("__due", F.col(doc_id)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    turns = F.sequence(F.lit(0), F.greatest(F.col("copies"), F.lit(1)) - 1)
+    due = F.when(F.col("copies") > 0, F.transform(turns, lambda r: _position(r, schedules)))
+    deals = cut(_dealt(docs, doc_id, source, text, weights, share, cap).select(
+        F.col("doc_id").alias("d_id"), F.col("source").alias("d_source"), F.col("mark").alias("d_mark"), due.alias("due")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("r_id"), F.col(source).alias("r_source"), F.xxhash64(whole(text)).alias("r_mark"))
+    again = cut(deals.groupBy("d_id", "d_source", "d_mark").agg(F.count("*").alias("n")).filter("n > 1").select(
+        F.col("d_id").alias("a_id"), F.col("d_source").alias("a_source"), F.col("d_mark").alias("a_mark")))
+
+    def same(one: str, other: str) -> Column:
+        return F.col(f"{one}_id").eqNullSafe(F.col(f"{other}_id")) & F.col(f"{one}_source").eqNullSafe(F.col(f"{other}_source")) & (F.col(f"{one}_mark") == F.col(f"{other}_mark"))
+
+    def numbered(some: DataFrame, name: str) -> DataFrame:
+        """Those that share all three, with their number among them."""
+        key = [f"{name}_{c}" for c in ("source", "id", "mark")]
+        sorted_rows = ranked(some.join(again, same(name, "a"), "left_semi"), [F.col(c) for c in key], {}, "place")
+        first = sorted_rows.groupBy(*key).agg(F.min("place").alias("first")).toDF("a_source", "a_id", "a_mark", "first")
+        return sorted_rows.join(first, same(name, "a")).withColumn(f"{name}_number", F.col("place") - F.col("first")).drop("place", "first", "a_id", "a_source", "a_mark")
+
+    taken = F.col("due").isNotNull()
+    if again.isEmpty():
+        found = rows.join(deals.filter(taken), same("r", "d")).select("row", "due")
+    else:
+        once = deals.join(again, same("d", "a"), "left_anti")
+        more = numbered(rows, "r").join(numbered(deals, "d").filter(taken), same("r", "d") & (F.col("r_number") == F.col("d_number")))
+        found = rows.join(once.filter(taken), same("r", "d")).select("row", "due").unionByName(more.select("row", "due"))
+    return found.select("row", F.explode("due").alias("at")).orderBy("at", F.col(f"row.`{doc_id}`")).select("row.*")
