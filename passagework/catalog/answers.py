@@ -97,39 +97,40 @@ def needs_context(spark, sf):
     return rows.select("conv_id", "turn", cv.needs_context("text", "last2").alias("leans"))
 
 
-# Every turn as a question in one of five wordings; four of them name no subject.
-ASKED = """asked AS (SELECT conv_id, turn, role, CASE (conv_id + 2 * turn) % 5 WHEN 0 THEN 'Please summarise these notes' WHEN 1 THEN 'What are the key points of my lecture?'
-    WHEN 2 THEN 'Which topics are likely to come up in the exam?' WHEN 3 THEN 'Summarise ' || text ELSE 'What is the hardest idea here?' END AS question FROM conversations)"""
+# Every turn as a question: one of five openings before its whole text.
+OPENINGS = ("Please summarise these notes", "What are the key points of my lecture?", "Which topics are likely to come up in the exam?", "Summarise", "What is the hardest idea here?")
+ASKED = f"""asked AS (SELECT conv_id, turn, role, [{", ".join(f"'{x}'" for x in OPENINGS)}][(conv_id + 2 * turn) % 5 + 1] AS opening, text FROM conversations)"""
 
 
 def asked(spark, sf):
-    kind = (F.col("conv_id") + 2 * F.col("turn")) % 5
-    return table(spark, sf, "conversations").withColumn(
-        "question",
-        F.when(kind == 0, "Please summarise these notes").when(kind == 1, "What are the key points of my lecture?")
-        .when(kind == 2, "Which topics are likely to come up in the exam?").when(kind == 3, F.concat(F.lit("Summarise "), "text")).otherwise("What is the hardest idea here?"))
+    opening = F.get(F.array(*map(F.lit, OPENINGS)), ((F.col("conv_id") + 2 * F.col("turn")) % 5).cast("int"))
+    return table(spark, sf, "conversations").withColumn("opening", opening).withColumn("question", F.concat("opening", F.lit(" "), "text"))
 
 
-@check("route_query", f"""WITH {ASKED} SELECT conv_id, turn, CASE WHEN (conv_id + 2 * turn) % 5 <> 3 OR
-        len(list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda v: v NOT IN ({quoted(cv.GENERIC)}))) = 0
-    THEN 'whole' ELSE 'search' END AS route FROM asked""")
+@check("route_query", f"""WITH {ASKED}, q AS (SELECT conv_id, turn, 'opening' AS form, opening AS question FROM asked UNION ALL SELECT conv_id, turn, 'with text', opening || ' ' || text FROM asked),
+    w AS (SELECT conv_id, turn, form, regexp_extract_all(lower(question), '[a-z0-9]+') AS w FROM q)
+    SELECT conv_id, turn, form, CASE WHEN regexp_matches(array_to_string(w, ' '), '{cv.OVERVIEW_INTENT}') AND len(list_filter(w, lambda v: v NOT IN ({quoted(cv.GENERIC)}))) = 0
+        THEN 'whole' ELSE 'search' END AS route FROM w""")
 def route_query(spark, sf):
-    return cv.route_query(asked(spark, sf)).select("conv_id", "turn", "route")
+    rows = asked(spark, sf)
+    both = rows.withColumn("form", F.lit("with text")).unionByName(rows.withColumn("form", F.lit("opening")).withColumn("question", F.col("opening")))
+    return cv.route_query(both).select("conv_id", "turn", "form", "route")
 
 
-@check("is_refusal", r"""WITH a AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '"Not_supported." ' || text WHEN 1 THEN '  **NOT_SUPPORTED**' ELSE text END AS x FROM conversations)
+@check("is_refusal", r"""WITH a AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '"Not_supported." ' || text WHEN 1 THEN '  **NOT_SUPPORTED** ' || text ELSE text END AS x FROM conversations)
     SELECT conv_id, turn, starts_with(upper(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^["''*`]+', '')), 'NOT_SUPPORTED') AS refused FROM a""")
 def is_refusal(spark, sf):
-    x = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('"Not_supported." '), "text")).when(F.col("turn") % 3 == 1, "  **NOT_SUPPORTED**").otherwise(F.col("text"))
+    x = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('"Not_supported." '), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("  **NOT_SUPPORTED** "), "text")).otherwise(F.col("text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", t.is_refusal(x).alias("refused"))
 
 
-@check("accept_rewrite", r"""WITH a AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN '"' || substr(text, 1, 40) || '"' WHEN 1 THEN '""' ELSE text END AS x FROM conversations),
+@check("accept_rewrite", r"""WITH a AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN '"' || text || '"' WHEN 1 THEN '"' || regexp_replace(text, '\S', '', 'g') || '"' ELSE text || text END AS x FROM conversations),
     b AS (SELECT *, regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^"+|"+$', '', 'g') AS y FROM a)
     SELECT conv_id, turn, CASE WHEN y = '' OR length(y) > 500 THEN text ELSE y END AS query, y = '' OR length(y) > 500 AS fell_back FROM b""")
 def accept_rewrite(spark, sf):
     k = F.col("turn") % 3
-    x = F.when(k == 0, F.concat(F.lit('"'), F.substring("text", 1, 40), F.lit('"'))).when(k == 1, '""').otherwise(F.col("text"))
+    quoted_ = lambda t: F.concat(F.lit('"'), t, F.lit('"'))
+    x = F.when(k == 0, quoted_(F.col("text"))).when(k == 1, quoted_(F.regexp_replace("text", r"\S", ""))).otherwise(F.concat("text", "text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", t.accept_rewrite("text", x).alias("r")).select("conv_id", "turn", "r.query", "r.fell_back")
 
 

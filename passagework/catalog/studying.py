@@ -21,15 +21,17 @@ def check(name, oracle=None):
     return add
 
 
-# Documents as study passages: a set per source, headings of every sort.
-PASSAGES = """passages AS (SELECT source AS set_id, doc_id AS chunk_id, doc_id AS chunk_index, CASE WHEN doc_id % 4 = 1 THEN 'Hardware: Arduino Uno, LCD' WHEN doc_id % 8 = 3 THEN 'Submitted by A. Student' ELSE text END AS text,
+# Documents as study passages: a set per source, headings of every sort; some texts open with a list or a credit.
+PASSAGES = """passages AS (SELECT source AS set_id, doc_id AS chunk_id, doc_id AS chunk_index,
+    CASE WHEN doc_id % 4 = 1 THEN 'Hardware: Arduino Uno, LCD' || chr(10) WHEN doc_id % 8 = 3 THEN 'Submitted by A. Student' || chr(10) ELSE '' END || text AS text,
     lang AS section, CASE doc_id % 6 WHEN 0 THEN 'References' WHEN 1 THEN '3. Sound sensors:' WHEN 2 THEN '7.1 Agenda' WHEN 3 THEN 'Slide 4' WHEN 4 THEN '' END AS heading,
     CASE WHEN doc_id % 2 = 1 THEN doc_id % 30 END AS slide_number FROM documents)"""
 
 
 def study_passages(spark, sf):
     d, kind = table(spark, sf, "documents"), F.col("doc_id") % 6
-    text = F.when(F.col("doc_id") % 4 == 1, "Hardware: Arduino Uno, LCD").when(F.col("doc_id") % 8 == 3, "Submitted by A. Student").otherwise(F.col("text"))
+    opening = F.when(F.col("doc_id") % 4 == 1, "Hardware: Arduino Uno, LCD\n").when(F.col("doc_id") % 8 == 3, "Submitted by A. Student\n").otherwise("")
+    text = F.concat(opening, "text")
     heading = F.when(kind == 0, "References").when(kind == 1, "3. Sound sensors:").when(kind == 2, "7.1 Agenda").when(kind == 3, "Slide 4").when(kind == 4, "")
     return d.select(
         F.col("source").alias("set_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_index"), text.alias("text"), F.col("lang").alias("section"),
@@ -38,7 +40,7 @@ def study_passages(spark, sf):
 
 
 @check("usable_chunks", f"""WITH {PASSAGES}, n AS (SELECT *, CASE WHEN text = '' THEN 0 ELSE greatest(1, round_even(length(text) / 4.0, 0)) END AS tokens FROM passages)
-    SELECT chunk_id FROM n WHERE regexp_matches(text, '\\S') AND chunk_id % 6 NOT IN (0, 2) AND (tokens >= 25 OR (slide_number IS NOT NULL AND chunk_id % 6 = 1 AND tokens >= 4 AND text <> 'Submitted by A. Student'))""")
+    SELECT chunk_id FROM n WHERE regexp_matches(text, '\\S') AND chunk_id % 6 NOT IN (0, 2) AND (tokens >= 25 OR (slide_number IS NOT NULL AND chunk_id % 6 = 1 AND tokens >= 4 AND chunk_id % 8 <> 3))""")
 def usable_chunks(spark, sf):
     return sd.usable_chunks(study_passages(spark, sf)).select("chunk_id")
 
