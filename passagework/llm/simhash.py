@@ -194,10 +194,18 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     return rows.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
 
 
-def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents, all columns: of each component one row with the least id stays, of its texts the one of least hash."""
-    rows = cut(_labelled(docs, doc_id, text, **options).filter("members > 1").select(
+def one_of_each(docs: DataFrame, labelled: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The documents, all columns: of each component one row with the least id stays, of its texts the one of least hash.
+
+    `labelled` has rows (doc_id, text_hash, label, component_id, members).
+    """
+    rows = cut(labelled.filter("members > 1").select(
         "doc_id", "text_hash", "label", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("least")))
     best = rows.filter("least").groupBy("label").agg(F.min("text_hash").alias("best"))
     judged = rows.join(best, "label").select("doc_id", F.col("text_hash").alias("mark"), (F.col("least") & (F.col("text_hash") == F.col("best"))).alias("kept"))
     return staying(docs, judged, doc_id, F.xxhash64(whole(text)))
+
+
+def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents less those that `near_groups` joins to another: one row of each component stays."""
+    return one_of_each(docs, _labelled(docs, doc_id, text, **options), doc_id, text)

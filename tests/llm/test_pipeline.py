@@ -10,7 +10,8 @@ from zlib import crc32
 import compare
 import corpus_pipeline
 import pytest
-from test_operators import fingerprint, groups_of, library, plain_counts, sha
+from test_near import plain_groups
+from test_operators import library, plain_counts, sha
 
 from passagework.llm.queries import ORACLES, QUERIES
 
@@ -100,7 +101,7 @@ def test_pipeline_by_hand(spark, sf):
     rows = plain_quality(rows, labels)
     last = {text: max(i for i, _, t in rows if t == text) for _, _, text in rows}
     rows = [r for r in rows if last[r[2]] == r[0]]
-    label = groups_of([fingerprint(t) for _, _, t in rows], 3)
+    label = plain_groups([t for _, _, t in rows])
     rows = [r for r, g in zip(rows, label, strict=True) if r[0] == min(x[0] for x, h in zip(rows, label, strict=True) if h == g)]
     _, encoding = library()
     want = sorted((i, len(ids := encoding.encode_ordinary(t)), sha(",".join(map(str, ids)).encode()), sha(t.encode())) for i, _, t in plain_mix(rows))
