@@ -9,8 +9,8 @@ from passagework.llm.bpe import encode
 from passagework.llm.common import table
 from passagework.llm.exact import without_copies
 from passagework.llm.mixing import mixed_documents
+from passagework.llm.near import without_similar
 from passagework.llm.quality import passing
-from passagework.llm.simhash import without_near_copies
 from passagework.session import cut
 
 
@@ -25,8 +25,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least id."""
-    return without_near_copies(docs)
+    """Of each group of near copies, by five-word shingles at a similarity of 0.8, the document with the least id."""
+    return without_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
