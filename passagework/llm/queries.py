@@ -121,32 +121,30 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
 
 
-def _template_sql(depth: int, support: int, z2: str) -> str:
-    """One level of the tree after another."""
-    parts = ["l0 AS (SELECT *, [x FOR x IN string_split(shape, '/') IF x <> ''] AS segments, '' AS template FROM shapes)"]
-    for n in range(depth):
-        parts.append(f"""
-    b{n} AS (SELECT *, segments[{n + 1}] AS branch FROM l{n}),
-    n{n} AS (SELECT host, template, branch, sum(pages) AS pages, sum(judged) AS judged, sum(good) AS good FROM b{n} WHERE branch IS NOT NULL GROUP BY ALL),
-    w{n} AS (SELECT *, sum(judged) OVER same AS all_judged, sum(good) OVER same AS all_good FROM n{n} WINDOW same AS (PARTITION BY host, template)),
-    k{n} AS (SELECT host, template, branch, true AS own FROM w{n} WHERE pages >= {support} AND judged > 0 AND all_judged > judged
-             AND (good::DOUBLE / judged - (all_good - good)::DOUBLE / (all_judged - judged)) ** 2
-               > {z2} * (all_good::DOUBLE / all_judged) * (1 - all_good::DOUBLE / all_judged) * (1.0::DOUBLE / judged + 1.0::DOUBLE / (all_judged - judged))),
-    l{n + 1} AS (SELECT b.host, shape, pages, judged, good, segments,
-                 b.template || CASE WHEN b.branch IS NULL THEN '' WHEN own THEN '/' || b.branch ELSE '/*' END AS template
-                 FROM b{n} b LEFT JOIN k{n} k ON b.host = k.host AND b.template = k.template AND b.branch = k.branch)""")
-    parts.append(f"""
-    placed AS (SELECT host, shape, pages, judged, good, template || CASE WHEN len(segments) > {depth} THEN '/**' ELSE '' END AS template FROM l{depth})""")
-    return ",".join(parts)
+#: The template tree, a level a round; a round sees the shapes that have a segment there.
+_TREE = """
+    walk AS (SELECT *, [x FOR x IN string_split(shape, '/') IF x <> ''] AS segments, '' AS template, 0 AS level FROM shapes
+        UNION ALL
+        SELECT host, shape, pages, judged, good, segments,
+               template || CASE WHEN n_pages >= 20 AND n_judged > 0 AND all_judged > n_judged
+                                     AND (n_good::DOUBLE / n_judged - (all_good - n_good)::DOUBLE / (all_judged - n_judged)) ** 2
+                                         > (1.96::DOUBLE * 1.96::DOUBLE) * (all_good::DOUBLE / all_judged) * (1 - all_good::DOUBLE / all_judged)
+                                           * (1.0::DOUBLE / n_judged + 1.0::DOUBLE / (all_judged - n_judged))
+                                THEN '/' || segments[level + 1] ELSE '/*' END, level + 1
+        FROM (SELECT *, sum(pages) OVER own AS n_pages, sum(judged) OVER own AS n_judged, sum(good) OVER own AS n_good,
+                     sum(judged) OVER sisters AS all_judged, sum(good) OVER sisters AS all_good
+              FROM walk WHERE level < len(segments)
+              WINDOW own AS (PARTITION BY host, template, segments[level + 1]), sisters AS (PARTITION BY host, template))),
+    placed AS (SELECT host, shape, pages, judged, good, template FROM walk WHERE level = len(segments))"""
 
 
 @_query("op5_url_filters", rf"""
-    WITH p AS (SELECT page_id, {_HOST} AS host, regexp_extract(coalesce(url, ''), '(?s)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    WITH RECURSIVE p AS (SELECT page_id, {_HOST} AS host, regexp_extract(coalesce(url, ''), '(?s)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
     s AS (SELECT *, regexp_replace(path, '[0-9]+', '#', 'g') AS shape FROM p),
     known AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
     shapes AS (SELECT host, shape, count(*) AS pages, count(quality) AS judged, count(*) FILTER (quality = 1) AS good
                FROM s LEFT JOIN known ON page_id = doc_id GROUP BY host, shape),
-    {_template_sql(4, 20, "(1.96::DOUBLE * 1.96::DOUBLE)")},
+    {_TREE},
     hosts AS (SELECT host, (sum(good) + 20.0::DOUBLE * (SELECT coalesce(sum(good)::DOUBLE / nullif(sum(judged), 0), 1) FROM placed)) / (sum(judged) + 20.0::DOUBLE) AS host_purity
               FROM placed GROUP BY host),
     t AS (SELECT host, template, (sum(good) + 20.0::DOUBLE * max(host_purity)) / (sum(judged) + 20.0::DOUBLE) AS purity FROM placed JOIN hosts USING (host) GROUP BY host, template),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.session import cut
@@ -32,13 +32,17 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return rule, verdict
 
 
-def _templates(shapes: DataFrame, depth: int, support: int, z: float) -> DataFrame:
+def _templates(shapes: DataFrame, support: int, z: float) -> DataFrame:
     """(host, shape, template): the tree is walked from the root, a level at a time, over distinct shapes.
 
     A branch stays by name if it has `support` pages and its labelled purity differs from its siblings' by a test of
     two proportions; rare branches are variable, and branches like the rest say nothing of their own: both become `*`.
+    The walk ends where no host has `support` pages with a further segment, for no branch below can have its own name.
     """
     rows = shapes.withColumn("segments", F.filter(F.split("shape", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
+    below = Window.partitionBy("host").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
+    lengths = rows.groupBy("host", F.size("segments").alias("length")).agg(F.sum("pages").alias("n")).withColumn("reach", F.sum("n").over(below))
+    depth = lengths.filter(F.col("reach") >= support).agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
     for level in range(depth):
         branch = F.get("segments", F.lit(level))
         rows = rows.withColumn("branch", branch)
@@ -53,16 +57,18 @@ def _templates(shapes: DataFrame, depth: int, support: int, z: float) -> DataFra
         kept = both.filter(F.col("pages") >= support).filter(F.coalesce(differs, F.lit(False))).select("host", "template", "branch", F.lit(True).alias("own"))
         name = F.when(F.col("branch").isNull(), "").when(F.col("own"), F.concat(F.lit("/"), F.col("branch"))).otherwise("/*")
         rows = rows.join(kept, ["host", "template", "branch"], "left").withColumn("template", F.concat("template", name)).drop("own")
-    deeper = F.when(F.size("segments") > depth, "/**").otherwise("")
+        if level % 3 == 2:
+            rows = cut(rows)
+    deeper = F.repeat(F.lit("/*"), F.greatest(F.size("segments") - depth, F.lit(0)))
     return rows.select("host", "shape", "pages", "judged", "good", F.concat("template", deeper).alias("template"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", *, rules: Sequence[tuple[str, str, str]] = RULES,
-                depth: int = 4, support: int = 20, z: float = 1.96, prior: float = 20.0, least_purity: float = 0.5) -> DataFrame:
+                support: int = 20, z: float = 1.96, prior: float = 20.0, least_purity: float = 0.5) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, template, purity.
 
-    Runs of digits in a path become `#`; the distinct shapes of each host form its tree (`_templates`), whose levels below
-    `depth` are one wildcard. A page's label is the row of `labels` with its id (quality 1 is good). A template's purity is its
+    Runs of digits in a path become `#`; the distinct shapes of each host form its tree (`_templates`), which
+    has no depth of its own. A page's label is the row of `labels` with its id (quality 1 is good). A template's purity is its
     share of good labelled pages, smoothed by `prior` pages of its host's purity, that again by the corpus's; below
     `least_purity` it is blocked. A rule, where one fits, decides instead; rules are a short list. Without any label
     everything is pure.
@@ -76,7 +82,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", u
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max("quality").alias("quality"))
     shapes = rows.join(known, "page_id", "left").groupBy("host", "shape").agg(
         F.count("*").alias("pages"), F.count("quality").alias("judged"), F.count(F.when(F.col("quality") == 1, 1)).alias("good"))
-    placed = cut(_templates(cut(shapes), depth, support, z))
+    placed = cut(_templates(cut(shapes), support, z))
     overall = placed.agg(F.coalesce(F.expr("try_divide(sum(good), sum(judged))"), F.lit(1.0))).scalar()
     hosts = placed.groupBy("host").agg(((F.sum("good") + F.lit(prior) * overall) / (F.sum("judged") + F.lit(prior))).alias("host_purity"))
     purity = (F.sum("good") + F.lit(prior) * F.first("host_purity")) / (F.sum("judged") + F.lit(prior))

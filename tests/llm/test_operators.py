@@ -356,3 +356,18 @@ def test_url_templates(spark):
     assert got[0] == ("/spam/*", "block")
     assert got[1][1] == got[1000][1] == "allow" and got[1000][0] == "/*"
     assert urls.filter_urls(frame.limit(0), known).count() == 0
+
+
+def test_url_templates_have_no_depth(spark):
+    """Branches that differ at any level are parted, also behind variable ones; a lone long path, null and repeated ids, clashing columns."""
+    rows = [(k, f"http://d.net/a/b/c/x{k}/d/e/{('spam', 'good')[k % 2]}/{k}.html", "t", "p", "h") for k in range(400)]
+    rows += [(None, rows[0][1], "t", "p", "h"), (1, rows[1][1], "t", "p", "h"), (900, "http://d.net" + "/s" * 300, "t", "p", "h")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, template string, path string, host string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
+    got = urls.filter_urls(frame, known).collect()
+    assert len(got) == len(rows)
+    # The lone page has the purity of its host, where good pages are one more than half.
+    wrong = [tuple(r) for r in got if r.verdict != ("allow" if "good" in r.path or r.page_id == 900 else "block")]
+    assert not wrong
+    assert {r.template for r in got if "spam" in r.path} == {"/*/*/*/*/*/*/spam/*"}
+    assert [r.template for r in got if r.page_id == 900] == ["/*" * 300]
