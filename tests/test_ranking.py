@@ -190,3 +190,12 @@ def test_bounded_search_is_the_whole_search(spark, monkeypatch, rare, k, size):
                 found.append((-round(score, 9), c[1], c[0]))
         want |= {(q, i, place, round(-s, 6)) for place, (s, _, i) in enumerate(sorted(found)[:k], 1)}
     assert got == want
+
+
+def test_postings_are_not_gathered_in_the_driver(spark):
+    """However small they look as files, postings meet what also grows with the corpus in merge joins."""
+    chunks = spark.createDataFrame([(i, 0, f"d{i}", f"common words number{i}") for i in range(50)], "chunk_id long, chunk_index int, document_id string, text string")
+    q = spark.createDataFrame([(1, "common words number3")], "query_id int, text string")
+    plan = r.sparse_search(q, r.postings(chunks), chunks, 2)._jdf.queryExecution().executedPlan().toString()
+    merged = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert sum("chunk_id" in line for line in merged) == 1 and sum("block" in line for line in merged) == 1
