@@ -246,3 +246,18 @@ def test_lines_keep_their_numbers_over_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == {(name, k, line) for name, text in files.items() for k, line in enumerate(text.replace("\r", "").removesuffix("\n").split("\n") if text else [], 1)}
+
+
+def test_unknown_answers_make_no_table_of_all_questions(spark):
+    """Answers of known, other and no tests, an attempt at two tests, nulls; no join keeps attempts times questions."""
+    from passagework.operators import grading as gr
+
+    questions = spark.createDataFrame([(t, 10 * t + n) for t in range(3) for n in range(5)], "test_id int, question_id int")
+    attempts = spark.createDataFrame([(1, 0), (2, 1), (2, 2), (2, 2), (3, 9)], "attempt_id int, test_id int")
+    said = [(1, 0), (1, 4), (1, 10), (2, 11), (2, 24), (2, 3), (3, 0), (4, 0), (None, 0), (1, None)]
+    responses = spark.createDataFrame(said, "attempt_id int, question_id int").withColumn("response", F.lit("x"))
+    got = gr.unknown_answers(questions, attempts, responses)
+    assert sorted(map(str, ((r.attempt_id, r.question_id) for r in got.collect()))) == sorted(map(str, [(1, 10), (2, 3), (3, 0), (4, 0), (None, 0), (1, None)]))
+    # Tests meet questions only together with an answer's question.
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert not any("test_id" in x and "question_id" not in x for x in joins)
