@@ -199,3 +199,13 @@ def test_postings_are_not_gathered_in_the_driver(spark):
     plan = r.sparse_search(q, r.postings(chunks), chunks, 2)._jdf.queryExecution().executedPlan().toString()
     merged = [line for line in plan.splitlines() if "SortMergeJoin" in line]
     assert sum("chunk_id" in line for line in merged) == 1 and sum("block" in line for line in merged) == 1
+
+
+def test_terms_of_one_index_are_apart(spark):
+    """`ofntbleen` and `oftheshahe` have one 32-bit index."""
+    chunks = spark.createDataFrame([("a", 0, "d", "ofntbleen rare"), ("b", 0, "d", "oftheshahe"), ("c", 0, "d", "oftheshahe")], "chunk_id string, chunk_index int, document_id string, text string")
+    posted = r.postings(chunks, stem=False)
+    assert len({x.term_idx for x in posted.filter("term like 'of%'").collect()}) == 1
+    assert {(x.term, x.df) for x in r.document_frequency(posted, chunks).collect()} == {("ofntbleen", 1), ("oftheshahe", 2), ("rare", 1)}
+    q = spark.createDataFrame([(1, "ofntbleen")], "query_id int, text string")
+    assert [x.chunk_id for x in r.sparse_search(q, posted, chunks, stem=False).collect()] == ["a"]
