@@ -209,3 +209,18 @@ def test_terms_of_one_index_are_apart(spark):
     assert {(x.term, x.df) for x in r.document_frequency(posted, chunks).collect()} == {("ofntbleen", 1), ("oftheshahe", 2), ("rare", 1)}
     q = spark.createDataFrame([(1, "ofntbleen")], "query_id int, text string")
     assert [x.chunk_id for x in r.sparse_search(q, posted, chunks, stem=False).collect()] == ["a"]
+
+
+def test_searches_among_vectors_ask_every_twentieth(spark, sf):
+    from passagework.catalog import queries
+
+    asked = queries()["dense_search"](spark, sf).select("query_id").distinct().collect()
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 20 = 0").count()
+    assert len(asked) == n > 0 and all(x.query_id % 20 == 0 for x in asked)
+
+
+def test_owners_are_told_apart_by_number():
+    import pyarrow as pa
+
+    q, b = pa.table({"user_id": ["a", "c", None, "gone"]}), pa.table({"user_id": ["c", "a", None, "a"]})
+    assert r._allowed(q, b).tolist() == [[False, True, False, True], [True, False, False, False], [False, False, True, False], [False] * 4]
