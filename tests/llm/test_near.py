@@ -109,3 +109,27 @@ def test_recall(spark):
     assert len(alike) > 100 and sum(alike) >= 0.9 * len(alike)
     assert not any(got[a] == got[b] for a, b, j in pairs if j < 0.6)
     assert all(got[k] in (k, k - 1) for k in got)
+
+
+def test_chance_meetings_stay_in_proportion():
+    """Unlike prints that share a head with a print grow with about the fourth root of their number; a head of fixed length gave twice as many for twice the prints."""
+    for n in (100, 50_000, 200_000, 10**7, 10**9):
+        head, orders = near.rings(n)
+        assert n * len(orders) / 2 ** head < n ** 0.25 and head + len(orders).bit_length() < 63
+        assert all(sorted(o) == list(range(512)) for o in orders)
+
+
+def test_longer_heads_find_the_same(spark, monkeypatch):
+    """Pairs 77 bits apart among strangers, with heads as long as for 2^20 prints: nearly all are linked, and no stranger."""
+    r = random.Random(12)
+    prints = []
+    for _ in range(300):
+        a, b = r.getrandbits(512), 0
+        for bit in r.sample(range(512), 77):
+            b |= 1 << bit
+        prints += [a, a ^ b]
+    monkeypatch.setattr(near, "SPARE", near.SPARE + 20 - (len(prints) - 1).bit_length())
+    assert near.rings(len(prints))[0] == 25
+    nodes = spark.createDataFrame([(k, bytearray(p.to_bytes(64, "big"))) for k, p in enumerate(prints)], "node long, print binary").repartition(3)
+    pairs = {(min(x.a, x.b), max(x.a, x.b)) for x in near.wide_links(nodes).collect()}
+    assert all(a % 2 == 0 and b == a + 1 for a, b in pairs) and len(pairs) >= 0.95 * 300
