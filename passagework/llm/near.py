@@ -33,6 +33,8 @@ SPARE, APART, MISSED = 5, 0.1516, 0.015
 BITS, CHAIN = 90, 128
 #: Prints of one key that meet in one task.
 BLOCK = 1024
+#: Every so manieth chain is searched first, so that the others need not link again what holds together by then.
+STEP = 16
 #: Odd multipliers, one for each word of a print, made from their numbers.
 MIX = np.array([xxhash.xxh64_intdigest(bytes([n]), 11) | 1 for n in range(WIDTH)], np.uint64)
 
@@ -150,8 +152,9 @@ def _linker(bits: int, head: int, orders: np.ndarray):
             found = list(_forest(prints[low:high], label[low:high], bits))
             if found:
                 pairs.append(np.array(found) + low)
-        both = node[np.concatenate(pairs).astype(np.int64)]
-        return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        at = np.concatenate(pairs).astype(np.int64)
+        ends = [x[at[:, k]] for x in (node, label) for k in (0, 1)]
+        return pa.record_batch([pa.array(x) for x in ends], names=["a", "b", "l_a", "l_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -169,16 +172,24 @@ def _linker(bits: int, head: int, orders: np.ndarray):
 
 
 def _met(cells: DataFrame, nodes: DataFrame, bits: int, head: int, orders: np.ndarray) -> DataFrame:
-    """Links from rows (key, node, low, high, label), a cell for each (key, low, high)."""
+    """Links from rows (key, node, low, high, label), a cell for each (key, low, high): one for each two labels that are linked."""
     rows = cells.join(nodes.select("node", "print"), "node").select("key", "low", "high", "node", "label", "print")
-    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_linker(bits, head, orders), "a long, b long")
+    found = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_linker(bits, head, orders), "a long, b long, l_a long, l_b long")
+    return found.groupBy(F.least("l_a", "l_b"), F.greatest("l_a", "l_b")).agg(F.min(F.struct("a", "b")).alias("link")).select("link.a", "link.b")
+
+
+def _named(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with `label`: the component of the node, by links so far."""
+    labels = components(links).withColumnsRenamed({"node": "l_node", "label": "l_label"})
+    return rows.join(labels, F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("l_label", "node")).drop("l_node", "l_label")
 
 
 def wide_links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """Links (a, b) between nodes (node long, print), enough to hold every component of what is found together.
 
     Candidates share the head of a chain. First they meet inside blocks of bounded size: keys of up to `BLOCK` prints are
-    one block, and a large group of near copies grows together over the blocks of its many keys. Then, in keys of several blocks
+    one block, and a large group of near copies grows together over the blocks of its many keys: over a part of the chains first, so that
+    the others link only what is still apart, and a large group does not get links anew from each chain. Then, in keys of several blocks
     whose prints are still apart, prints of the largest component meet all others, and the others one another, never itself.
     """
     head, orders = rings(nodes.count())
@@ -186,12 +197,14 @@ def wide_links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     shared = heads.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = cut(heads.join(shared, "key"))
     block = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    first = cut(_met(met.select("key", "node", block.alias("low"), block.alias("high"), F.col("node").alias("label")), nodes, bits, head, orders).distinct())
+    early = F.shiftright("key", head) % STEP == 0
+    cells = met.select("key", "node", block.alias("low"), block.alias("high"))
+    first = cut(_met(cells.filter(early).withColumn("label", F.col("node")), nodes, bits, head, orders))
+    first = cut(first.unionByName(_met(_named(cells.filter(~early), first), nodes, bits, head, orders)))
     hot = met.filter(F.col("n") > BLOCK)
     if hot.isEmpty():
         return first
-    labels = components(first).withColumnsRenamed({"node": "l_node", "label": "l_label"})
-    named = cut(hot.join(labels, F.col("node") == F.col("l_node"), "left").select("key", "node", "n", F.coalesce("l_label", "node").alias("label")))
+    named = cut(_named(hot, first).select("key", "node", "n", "label"))
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("n_all")).filter(F.col("n_all") > F.col("top.m")).select(
         "key", F.col("top.label").alias("top"), F.ceil(F.col("top.m") / BLOCK).cast("int").alias("tops"), F.ceil((F.col("n_all") - F.col("top.m")) / BLOCK).cast("int").alias("others"))

@@ -133,3 +133,19 @@ def test_longer_heads_find_the_same(spark, monkeypatch):
     nodes = spark.createDataFrame([(k, bytearray(p.to_bytes(64, "big"))) for k, p in enumerate(prints)], "node long, print binary").repartition(3)
     pairs = {(min(x.a, x.b), max(x.a, x.b)) for x in near.wide_links(nodes).collect()}
     assert all(a % 2 == 0 and b == a + 1 for a, b in pairs) and len(pairs) >= 0.95 * 300
+
+
+def test_links_of_a_group_do_not_multiply_by_chains(spark):
+    """Near copies of one print: no more links each than there are chains in the part searched first, though most chains bring many together."""
+    r = random.Random(21)
+    base, prints = r.getrandbits(512), set()
+    while len(prints) < 400:
+        mask = 0
+        for bit in r.sample(range(512), 20):
+            mask |= 1 << bit
+        prints.add(base ^ mask)
+    nodes = spark.createDataFrame([(k, bytearray(p.to_bytes(64, "big"))) for k, p in enumerate(sorted(prints))], "node long, print binary").repartition(3)
+    found = near.wide_links(nodes)
+    first = -(-len(near.rings(400)[1]) // near.STEP)
+    assert 399 <= found.distinct().count() < (first + 1) * 400
+    assert {x.label for x in components(found).collect()} == {0}
