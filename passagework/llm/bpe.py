@@ -8,7 +8,8 @@ import heapq
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 import regex
@@ -22,8 +23,10 @@ from passagework.session import cut
 NEVER = (1 << 16) - 1
 #: Stands before and behind a word's pieces; no pair with it merges.
 EDGE = NEVER
-#: Distinct stretches of text a task remembers before it starts over.
-REMEMBERED = 300_000
+#: Distinct stretches of text, and distinct words, a task remembers before it starts over.
+REMEMBERED = 400_000
+#: Bytes of a word up to which scanning lists is quicker than a heap.
+SHORT = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -154,8 +157,8 @@ def _spelled(spelling: list[int]):
     return run
 
 
-def merged_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same fold as `merged` for one word, with a heap of ranks and links between pieces, for words of any length."""
+def _merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The fold with a heap of ranks and links between pieces, whose time grows little faster than the word."""
     ends, before = list(range(1, len(word) + 1)), list(range(-1, len(word)))
     heap = [(r, at, at + 2) for at in range(len(word) - 1) if (r := ranks.get(word[at:at + 2])) is not None]
     heapq.heapify(heap)
@@ -179,27 +182,54 @@ def merged_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def merged_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same fold as `merged` for one word of any length; while the word is short, with the same two lists."""
+    if len(word) > SHORT:
+        return _merged_long(word, ranks)
+    edges, gains = list(range(len(word) + 1)), [ranks.get(word[at:at + 2], NEVER) for at in range(len(word) - 1)]
+    while gains and (least := min(gains)) < NEVER:
+        at = gains.index(least)
+        del edges[at + 1], gains[at]
+        if at < len(gains):
+            gains[at] = ranks.get(word[edges[at]:edges[at + 2]], NEVER)
+        if at:
+            gains[at - 1] = ranks.get(word[edges[at - 1]:edges[at + 1]], NEVER)
+    return [ranks[word[start:end]] for start, end in pairwise(edges)]
+
+
+class _Memo(dict):
+    """What `make` gives for a key, made once while remembered. Values are strings, which the garbage collector does not walk."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = value = self.make(key)
+        return value
+
+
 def _encoder(pattern: str, carried: dict[str, list[int]], ranks: dict[bytes, int], with_ids: bool):
-    """Per document: the ids in text order, and their decoding by concatenated pieces."""
+    """Per document: the ids in text order, each written with a comma before it, put together from distinct stretches, and these from
+    distinct words; and the decoding of what was written, by concatenated pieces.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre, memo = Pretokens(pattern), {}
-        pieces = {rank: piece for piece, rank in ranks.items()}
-        decimal = {rank: str(rank) for rank in pieces}
+        pre = Pretokens(pattern)
+        decimal, pieces = {rank: f",{rank}" for rank in ranks.values()}, {str(rank): piece for piece, rank in ranks.items()}
+        words = _Memo(lambda word: "".join([decimal[i] for i in carried.get(word) or merged_bytes(word.encode(), ranks)]))
+        written = _Memo(lambda stretch: "".join(map(words.__getitem__, pre.matches(stretch))))
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                ids: list[int] = []
-                for stretch in pre.stretches(text):
-                    made = memo.get(stretch)
-                    if made is None:
-                        if len(memo) >= REMEMBERED:
-                            memo.clear()
-                        made = [i for m in pre.matches(stretch) for i in (carried.get(m) or merged_bytes(m.encode(), ranks))]
-                        memo[stretch] = made
-                    ids += made
+                for memo in (words, written):
+                    if len(memo) >= REMEMBERED:
+                        memo.clear()
+                # Without the first comma; no id is empty.
+                listed = "".join(map(written.__getitem__, pre.stretches(text)))[1:]
+                ids = listed.split(",") if listed else []
                 rows.append((
-                    len(ids), hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest(),
-                    hashlib.sha256(b"".join([pieces[i] for i in ids])).hexdigest(), ids if with_ids else None))
+                    len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(b"".join(map(pieces.__getitem__, ids))).hexdigest(),
+                    [int(i) for i in ids] if with_ids else None))
             made = list(zip(*rows, strict=True)) if rows else [[]] * 4
             kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
             names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][:4 if with_ids else 3]

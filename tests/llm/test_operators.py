@@ -151,6 +151,13 @@ def library():
     return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def test_short_and_long_words_merge_alike():
+    ranks = bpe.read_ranks(RANKS)
+    rng = random.Random(9)
+    words = ["".join(rng.choices("aeinorst é", k=n)).encode() for n in (0, 1, 2, 5, bpe.SHORT - 1, bpe.SHORT, bpe.SHORT + 1, 400) for _ in range(50)]
+    assert [bpe.merged_bytes(w, ranks) for w in words] == [bpe._merged_long(w, ranks) for w in words]
+
+
 @pytest.mark.parametrize("carried", [1 << 16, 5])
 def test_byte_bpe(docs, empty, carried):
     _, encoding = library()
