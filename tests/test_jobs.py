@@ -70,6 +70,21 @@ def test_near_duplicates_deep_and_shallow(spark):
     assert {(x["rank"], x.later) for x in shallow.collect()} == {p for p in want if p[1] <= 30}
 
 
+def test_near_duplicates_pairs_are_added_up_before_they_are_shuffled(spark):
+    rng = random.Random(5)
+    parts = [" ".join(rng.choices("river stone walk blue seven light corn end north tall".split(), k=6)) for _ in range(40)]
+    rows = [(q, r, " . ".join(rng.sample(parts, 12))) for q in (None, 1, 2) for r in range(1, 71)]
+    rows += [(3, 1, "same words in one ranking twice over"), (3, 2, "same words in one ranking twice over"), (3, 3, None), (3, 4, "")]
+    df = spark.createDataFrame(rows, "query_id int, rank int, text string")
+    sets = {(q, r): cx._words(x or "") for q, r, x in rows if q is not None}
+    want = {(q, r, later): len(a & b) / min(len(a), len(b)) for (q, r), a in sets.items() for (p, later), b in sets.items()
+            if p == q and r < later and a & b and len(a & b) / min(len(a), len(b)) >= 0.1}
+    found = cx.near_duplicates(df, 0.1)
+    got = {(x.query_id, x["rank"], x.later): x.overlap for x in found.collect()}
+    assert got == pytest.approx(want) and len(want) > 500 and want[3, 1, 2] == 1
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("question,last2,want", [
     ("how does it work", [], True), ("and then?", [], True), ("what are the advantages?", ["Hashing is fast"], True), ("what is Pharmakon?", ["The college was founded"], False),
     ("when was the college founded?", ["colleges in town"], True), ("compare hashing sorting merging scanning probing costs", ["hashing"], False)])
