@@ -224,3 +224,33 @@ def test_owners_are_told_apart_by_number():
 
     q, b = pa.table({"user_id": ["a", "c", None, "gone"]}), pa.table({"user_id": ["c", "a", None, "a"]})
     assert r._allowed(q, b).tolist() == [[False, True, False, True], [True, False, False, False], [False, False, True, False], [False] * 4]
+
+
+def test_searches_among_vectors_ask_every_row(spark, sf):
+    from passagework.catalog import queries
+
+    for name, rows, k in (("dense_search", "embeddings", "vec_id"), ("dense_search_scoped", "documents", "doc_id")):
+        asked = {x.query_id for x in queries()[name](spark, sf).select("query_id").distinct().collect()}
+        assert asked == {x[0] for x in spark.read.parquet(f"{sf}/{rows}.parquet").select(k).collect()}
+    asked = queries()["vector_label_metrics"](spark, sf).collect()[0]["queries"]
+    assert asked > spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 20 = 0").count()
+
+
+def test_only_pairs_of_one_owner_are_scored():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    owners = ["a", None, "b", "c"]
+    q = pa.table({"query_id": list(range(40)), "user_id": [owners[i % 3] for i in range(40)], "vector": rng.normal(size=(40, 8)).tolist()})
+    b = pa.table({"chunk_id": list(range(60)), "chunk_index": [0] * 60, "user_id": [owners[i % 4] for i in range(60)], "vector": rng.normal(size=(60, 8)).tolist()})
+    best = r._Best(q, 3)
+    met = np.zeros((40, 60), bool)
+    for mine, held in best._shares(b):
+        met[np.ix_(mine, held)] = True
+    assert (met == r._allowed(q, b)).all() and met.sum() == 40 * 15
+    best.add(b)
+    best.add(b.filter(pa.array([i % 4 == 3 for i in range(60)])))
+    unit = lambda rows: np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+    scores = np.where(met, np.round(unit(q["vector"].to_pylist()) @ unit(b["vector"].to_pylist()).T, 9), -9.0)
+    want = {(i, int(c)) for i in range(40) for c in np.argsort(-scores[i])[:3]}
+    assert {(x["query_id"], x["chunk_id"]) for part in best.rows() for x in part.to_pylist()} == want
