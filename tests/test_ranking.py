@@ -254,3 +254,62 @@ def test_only_pairs_of_one_owner_are_scored():
     scores = np.where(met, np.round(unit(q["vector"].to_pylist()) @ unit(b["vector"].to_pylist()).T, 9), -9.0)
     want = {(i, int(c)) for i in range(40) for c in np.argsort(-scores[i])[:3]}
     assert {(x["query_id"], x["chunk_id"]) for part in best.rows() for x in part.to_pylist()} == want
+
+
+def test_a_reranked_search_reads_its_vectors_once(spark):
+    chunks = spark.createDataFrame([(f"c{i}", i, "d", "u", f"word{i} common text") for i in range(40)], "chunk_id string, chunk_index int, document_id string, user_id string, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    made = chunks.withColumn("vector", hashed_embedding(32)("text")).drop("text")
+    index = Index(chunks, made.mapInArrow(counted, made.schema), r.postings(chunks))
+    q = spark.createDataFrame([(1, "word3 common", "u")], "query_id int, text string, user_id string").withColumn("vector", hashed_embedding(32)("text"))
+    found = retrieve(q, index, "hybrid_rerank", 3, scorer=hooks.overlap_scorer).collect()
+    assert [x.chunk_id for x in found if x["rank"] == 1] == ["c3"] and len(found) == 3
+    assert read.value == 40
+
+
+@pytest.mark.parametrize("k", [2, 30])
+def test_blocks_of_a_scoped_search_hold_one_owner(spark, monkeypatch, k):
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(60)]
+    rows = [(i, 0, f"d{i}", None if i % 50 == 9 else f"u{i % 5}", " ".join(rng.choices(words, [1 / (n + 1) for n in range(60)], k=rng.choice([3, 40, 44])))) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, chunk_index int, document_id string, user_id string, text string")
+    q = spark.createDataFrame([(i, " ".join(rng.choices(words, k=12)) + " w0 w1", f"u{i % 6}") for i in range(30)], "query_id int, text string, user_id string")
+    posted = r.postings(chunks, stem=False)
+    plain, seen = r.block_maxima, []
+    monkeypatch.setattr(r, "block_maxima", lambda *a: seen.append(a[0]) or plain(*a))
+    got = {(x.query_id, x.chunk_id, x["rank"], x.score) for x in r.sparse_search(q, posted, chunks, k, stem=False).collect()}
+    owners = seen[0].groupBy("block").agg(F.count_distinct("user_id").alias("owners"), F.count_distinct("chunk_id").alias("chunks")).collect()
+    assert max(x.owners for x in owners) == 1 and max(x.chunks for x in owners) > 8
+    # The whole corpus counts for idf; a search with every term rare scores everything.
+    assert got == {(x.query_id, x.chunk_id, x["rank"], x.score) for x in r.sparse_search(q, posted, chunks, k, stem=False, rare=1.0).collect()}
+    assert {g[0] for g in got} == {i for i in range(30) if i % 6 != 5}
+
+
+def test_contexts_and_sources_compare_passages_once(spark, monkeypatch):
+    from passagework.operators import context as cx
+
+    calls = spark.sparkContext.accumulator(0)
+    plain = cx._admit
+
+    def counted(*limits):
+        run = plain(*limits)
+
+        def each(frames):
+            for pdf in frames:
+                calls.add(len(pdf))
+                yield from run(iter([pdf]))
+        return each
+
+    monkeypatch.setattr(cx, "_admit", counted)
+    row = "query_id int, rank int, chunk_id string, document_id string, text string, document_name string, page_number int, page_end int, slide_number int, heading_path array<string>, source string"
+    ranked_ = spark.createDataFrame([(1, i + 1, f"c{i}", "d", t, "d.pdf", None, None, None, [], "text") for i, t in enumerate(
+        ["one two three", "one two three", "one two three four five six", "x " * 30_000, "one two"])], row)
+    contexts, sources = cx.build_context(ranked_)
+    assert contexts.collect()[0].sources == 3 and {x.chunk_id for x in sources.collect()} == {"c0", "c2", "c4"}
+    assert calls.value == 5
